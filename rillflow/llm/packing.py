@@ -13,6 +13,7 @@ on its own.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -26,54 +27,46 @@ from pyspark.sql import functions as F
 from .common import cut, map_rows
 
 END = 2
+#: Fixed value: the byte-level vocabulary's pre-tokens, but for white space.
+CUT = r"'(?:s|t|re|ve|m|ll|d)| ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)"
+DOUBLED = re.compile(r"\s\s")
+
+
+def byte_characters() -> dict[str, int]:
+    """The byte for which each character of a byte-level vocabulary stands: printable ones for themselves, those from 256 on for the others."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
 class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes.
+    """Token ids of texts by a byte-level tokenizer's file, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer's own pre-tokens are what it merges within, so each distinct one is encoded once for a worker and
-    remembered. A space between two other characters always starts a pre-token, which makes `text.split(" ")` a
-    safe first cut unless white space stands beside white space, or a special token's string is in the text;
-    such texts are encoded whole.
+    `tokenizers` reads the file and encodes texts that hold a special token's string. For the rest its vocabulary is
+    handed to `tiktoken`, which merges by the same ranks several times faster (tests hold both to the same ids).
+    The pre-token pattern's look-ahead only matters where white space follows white space; texts without that are
+    cut by the pattern without it, which is twice as fast.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        import public_tokenizers
-        import regex
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces = regex.compile(public_tokenizers.PATTERN)
-        self.doubled = regex.compile(r"\s(?= )| (?=\s)")
-        self.most = most
-        outer = self
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) >= outer.most:
-                    self.clear()
-                self[word] = ids = b"".join(map(outer.piece.__getitem__, outer.pieces.findall(word)))
-                return ids
-
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= outer.most:
-                    self.clear()
-                self[piece] = ids = outer.whole(piece)
-                return ids
-
-        self.word, self.piece = Words(), Pieces()
-
-    def whole(self, text: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return ids.tobytes()
+        tokenizer = Tokenizer.from_file(path)
+        as_byte = byte_characters()
+        ranks = {bytes(as_byte[c] for c in t): i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in as_byte for c in t)}
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        for t in self.special:
+            ranks.pop(t.encode(), None)
+        self.full, self.quick = (tiktoken.Encoding(p, pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (CUT + r"|\s+(?!\S)|\s+", CUT + r"|\s+"))
+        self.whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
-        if self.doubled.search(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.word[first] + b"".join([self.word[" " + w] for w in rest])
+        if any(s in text for s in self.special):
+            ids = self.whole(text)
+        else:
+            ids = (self.full if DOUBLED.search(text) else self.quick)(text)
+        return array("I", ids).tobytes()
 
 
 def default_tokenizer() -> str:
@@ -124,34 +117,36 @@ def patterns(size: int) -> np.ndarray:
     return np.concatenate(rows)
 
 
-def fit_counts(shapes: np.ndarray, histogram: np.ndarray, steps: int = 400) -> np.ndarray:
+def fit_counts(shapes: np.ndarray, histogram: np.ndarray, steps: int = 250) -> np.ndarray:
     """Non-negative least squares by accelerated projected gradient: how often each pattern, so that lengths come out as in the histogram."""
     size = len(histogram) - 1
     weight = 1 / np.maximum(1.0, np.sqrt(histogram))  # a frequent length may miss by more
-    used = shapes > 0
+    weight[0] = 0  # stands for no third length
+    open_ = (histogram[shapes] > 0) | (shapes == 0)
+    chosen = np.flatnonzero(open_.all(1))
+    x = np.zeros(len(shapes))
+    if not len(chosen):
+        return x
+    columns = [np.ascontiguousarray(shapes[chosen, k]) for k in range(3)]
 
-    def forward(x: np.ndarray) -> np.ndarray:
-        return np.bincount(shapes[used], np.repeat(x, 3).reshape(-1, 3)[used], size + 1)
+    def forward(y: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(c, y, size + 1) for c in columns)
 
     def back(r: np.ndarray) -> np.ndarray:
-        return (r[shapes] * used).sum(1)
+        return r[columns[0]] + r[columns[1]] + r[columns[2]]
 
-    open_ = ((histogram[shapes] > 0) | ~used).all(1)
-    x = np.zeros(len(shapes))
-    if not open_.any():
-        return x
-    probe = np.random.default_rng(1).random(len(shapes)) * open_
+    probe = np.random.default_rng(1).random(len(chosen))
     for _ in range(12):  # the largest eigenvalue, for the step
-        probe = back(weight**2 * forward(probe)) * open_
+        probe = back(weight**2 * forward(probe))
         top = np.linalg.norm(probe)
         probe /= top
-    y, t = x, 1.0
+    y = best = np.zeros(len(chosen))
+    t = 1.0
     for _ in range(steps):
-        gradient = back(weight**2 * (forward(y) - histogram)) * open_
-        new = np.maximum(0, y - gradient / (1.05 * top))
+        new = np.maximum(0, y - back(weight**2 * (forward(y) - histogram)) / (1.05 * top))
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        y = new + (old - 1) / t * (new - x)
-        x = new
+        y, best = new + (old - 1) / t * (new - best), new
+    x[chosen] = best
     return x
 
 
