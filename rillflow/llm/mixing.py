@@ -104,28 +104,25 @@ def rate(history: list[tuple[list[float], float]], pull: float, least: float) ->
     return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("q")), step)["r"]
 
 
-def fit_rates(known: DataFrame, targets: list[float], total: float, steps: int = 25, pull: float = 1e-3, least: float = 0.0) -> tuple[Column, list[list[float]]]:
-    """The rate as a column over __p, and the domain totals (over total) at each step. known (stored): __n, __p; targets: wanted shares of `total` tokens."""
+def fit_rates(known: DataFrame, targets: list[float], total: float, steps: int = 25, pull: float = 1e-3, least: float = 0.0) -> list[tuple[list[float], float]]:
+    """The history from which rate() gives every document's rate. known: __n, __p; targets: wanted shares of `total` tokens.
+
+    Each step sums the domains' tokens at the point looked ahead to, then moves every posterior's rate and stores it.
+    """
+    state = cut(known.select("__p", "__n", F.lit(1.0).alias("r"), F.lit(1.0).alias("q")))
     history: list[tuple[list[float], float]] = []
-    seen = []
     t = 1.0
     for _ in range(steps):
         new = (1 + math.sqrt(1 + 4 * t * t)) / 2
         momentum, t = (t - 1) / new, new
-        ahead = _ahead(history, momentum, pull, least)
-        sums = known.agg(*(F.sum(ahead * F.col("__n") * F.col("__p")[d]).alias(f"d{d}") for d in range(len(targets)))).first()
-        got = [(x or 0.0) / total for x in sums]
-        seen.append(got)
-        history.append(([g - w for g, w in zip(got, targets, strict=True)], momentum))
-    return rate(history, pull, least), seen
-
-
-def _ahead(history: list, momentum: float, pull: float, least: float) -> Column:
-    """The point at which the next gradient is taken."""
-    now = rate(history, pull, least)
-    if not history:
-        return now
-    return now + momentum * (now - rate(history[:-1], pull, least))
+        state = state.withColumn("y", F.col("r") + F.lit(momentum) * (F.col("r") - F.col("q")))
+        sums = state.agg(*(F.sum(F.col("y") * F.col("__n") * F.col("__p")[d]).alias(f"d{d}") for d in range(len(targets)))).first()
+        errors = [(x or 0.0) / total - w for x, w in zip(sums, targets, strict=True)]
+        history.append((errors, momentum))
+        move = sum((F.col("__p")[d] * F.lit(e) for d, e in enumerate(errors)), F.lit(0.0))
+        moved = F.greatest(F.lit(least), F.col("y") - move - F.lit(pull) * (F.col("y") - 1))
+        state = cut(state.select("__p", "__n", moved.alias("r"), F.col("r").alias("q")))
+    return history
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None, domain: str = "lang", flatten: float = 0.7, keep_all: bool = False, steps: int = 25) -> DataFrame:
@@ -148,7 +145,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None,
     whole = sum(wanted) or 1.0
     wanted = [w / whole for w in wanted]
     total = tokens * (max([1.0, *(s / w for s, w in zip(shares, wanted, strict=True) if w > 0)]) if keep_all else 1.0)
-    rates, _ = fit_rates(known, wanted, total, steps, least=1.0 if keep_all else 0.0)
+    least, pull = 1.0 if keep_all else 0.0, 1e-3
+    rates = rate(fit_rates(known, wanted, total, steps, pull, least), pull, least)
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     out = scored.withColumn("__rate", F.round(rates, 6))
     return out.withColumn("__copies", F.floor(F.col("__rate") + chance).cast("int")).withColumn("__domains", F.array(*map(F.lit, by.domains)))
