@@ -125,17 +125,22 @@ def fit_rates(known: DataFrame, targets: list[float], total: float, steps: int =
     return history
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None, domain: str = "lang", flatten: float = 0.7, keep_all: bool = False, steps: int = 25) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None, domain: str = "lang", flatten: float = 0.7, keep_all: bool = False, steps: int = 25, columns: list[str] | None = None) -> DataFrame:
     """docs with __n, __p, __rate and __copies, and the classifier's domains in the order of __p.
 
     weights: target share of each domain; None stands for the corpus's own expected shares to the power `flatten`.
+    columns: those of docs to keep; without the text among them, the scores are stored instead of worked out twice.
     keep_all: rates of at least 1, for a total that makes this possible; else the total stays that of the corpus.
     """
     by = learn(labelled, domain)
     if not by.domains:
         names = sorted(weights or {"all": 1.0})
         by = Classifier(names, [0.0] * len(names), [], [], [0.0] * len(names))
-    scored = posteriors(docs, by)
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    scored = posteriors(docs, by).withColumn("__chance", chance)
+    if columns is not None:
+        scored = scored.select(*(F.col(f"`{c}`") for c in columns), "__n", "__p", "__chance")
+        scored = scored if "text" in columns else cut(scored)
     known = cut(scored.groupBy("__p").agg(F.sum("__n").alias("__n")))
     first = known.agg(*(F.sum(F.col("__n") * F.col("__p")[d]).alias(f"d{d}") for d in range(len(by.domains)))).first()
     sums = [x or 0.0 for x in first]
@@ -147,14 +152,13 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None,
     total = tokens * (max([1.0, *(s / w for s, w in zip(shares, wanted, strict=True) if w > 0)]) if keep_all else 1.0)
     least, pull = 1.0 if keep_all else 0.0, 1e-3
     rates = rate(fit_rates(known, wanted, total, steps, pull, least), pull, least)
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     out = scored.withColumn("__rate", F.round(rates, 6))
-    return out.withColumn("__copies", F.floor(F.col("__rate") + chance).cast("int")).withColumn("__domains", F.array(*map(F.lit, by.domains)))
+    return out.withColumn("__copies", F.floor(F.col("__rate") + F.col("__chance")).cast("int")).withColumn("__domains", F.array(*map(F.lit, by.domains)))
 
 
 def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None, **how) -> DataFrame:
     """doc_id, n_tokens, domain (likeliest; the first of equals), posterior (in the order of domains), rate, copies of every row."""
-    out = mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labelled, weights, **how)
+    out = mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labelled, weights, columns=["doc_id"], **how)
     best = F.element_at("__domains", F.array_position("__p", F.array_max("__p")).cast("int"))
     return out.select("doc_id", F.col("__n").cast("long").alias("n_tokens"), best.alias("domain"), F.col("__domains").alias("domains"), F.col("__p").alias("posterior"), F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
 
