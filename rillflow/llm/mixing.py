@@ -165,5 +165,6 @@ def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | No
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, **how) -> DataFrame:
     """The rows of docs, all columns, each as often as its copies say."""
-    out = mix(docs, labelled, weights, **how).where("__copies > 0")
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # stored first: a condition on the copies would be pushed into the scores and written out once for each use of them
+    out = cut(mix(docs, labelled, weights, **how).select(*(F.col(f"`{c}`") for c in docs.columns), "__copies"))
+    return out.where("__copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
