@@ -48,10 +48,15 @@ def words(column: str) -> Column:
     return F.when(F.length(F.trim(column)) == 0, F.lit(0.0)).otherwise(times(column, " ") - 1)
 
 
-def learn(labelled: DataFrame, domain: str, markers: int = 6, rows: int = 5_000) -> Classifier:
-    """From at most `rows` labelled documents: `markers` words for each domain, by how much more often they occur there."""
-    sample = labelled.where(F.col(domain).isNotNull()).select(F.col(domain).cast("string").alias("domain"), "text", F.xxhash64("doc_id", "text").alias("h"))
-    sample = cut(sample.orderBy("h").limit(rows).select("domain", padded(F.col("text")).alias("t")))
+def learn(docs: DataFrame, labelled: DataFrame, domain: str, markers: int = 6, rows: int = 5_000) -> Classifier:
+    """From at most `rows` labelled documents: `markers` words for each domain, by how much more often they occur there.
+
+    labelled: doc_id and domain of the documents that may train; their texts come from docs. Only these two columns are
+    shuffled and sorted to choose by a hash; what was chosen, `rows` at most, is sent to the texts. Repeated ids all train.
+    """
+    named = labelled.select("doc_id", F.col(domain).cast("string").alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL").distinct()
+    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(rows)
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", padded(F.col("text")).alias("t")))
     sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").collect()}
     if not sizes:
         return Classifier([], [], [], [], [])
@@ -132,7 +137,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None,
     columns: those of docs to keep; without the text among them, the scores are stored instead of worked out twice.
     keep_all: rates of at least 1, for a total that makes this possible; else the total stays that of the corpus.
     """
-    by = learn(labelled, domain)
+    by = learn(docs, labelled, domain)
     if not by.domains:
         names = sorted(weights or {"all": 1.0})
         by = Classifier(names, [0.0] * len(names), [], [], [0.0] * len(names))
