@@ -111,6 +111,38 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("query_id").agg(best.alias("best"))
 
 
+def verified(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, near: np.ndarray, bound: float, norm: float, k: int, chi: float) -> np.ndarray:
+    """Rows of x: the k best of those verified. near: squared projected distances; bound: squared distance to beat.
+
+    Rows are verified in blocks by rising projected distance, each four times the size of the one before; the k-th
+    best of a block tightens the bound, and what then fails the chi-square test is never verified.
+    """
+    base, best, score, size = norm**2 + q @ q, np.zeros(0, np.int64), np.zeros(0), 256
+    whole = None
+    left = np.flatnonzero((near <= chi * bound * (1 + 1e-9) + 1e-9) & (ids != own))
+    while len(left):
+        if len(left) > size:
+            parted = left[np.argpartition(near[left], size)]
+            block, left = parted[:size], parted[size:]
+        else:
+            block, left = left, left[:0]
+        # Reading all rows in turn costs less than picking many out; both give a row the same sum.
+        if whole is None and 4 * len(block) > len(x):
+            whole = np.einsum("ij,j->i", x, q)
+        new = np.einsum("ij,j->i", x[block], q) if whole is None else whole[block]
+        if len(best) == k:
+            better = new >= score[-1]
+            block, new = block[better], new[better]
+        best, score = np.append(best, block), np.append(score, new)
+        first = np.lexsort((ids[best], -score))[:k]
+        best, score = best[first], score[first]
+        if len(first) == k and len(left):
+            bound = min(bound, max(0.0, base - 2 * score[-1]))
+            left = left[near[left] <= chi * bound * (1 + 1e-9) + 1e-9]
+        size *= 4
+    return best
+
+
 def search(visits: DataFrame, cells: DataFrame, index: Index, k: int, confidence: float) -> DataFrame:
     """(query_id, vec_id, score): up to k for each query and searched unit. visits: unit, query_id, v, bound (squared distance or null)."""
     chi = chi_square_quantile(confidence, index.matrix.shape[1])
@@ -118,27 +150,16 @@ def search(visits: DataFrame, cells: DataFrame, index: Index, k: int, confidence
     def look(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        x, q = np.array(held["v"].tolist()), np.array(asked["v"].tolist())
-        ids = held["vec_id"].to_numpy()
+        x, q, ids = np.stack(held["v"].to_numpy()), np.stack(asked["v"].to_numpy()), held["vec_id"].to_numpy()
+        names, bounds = asked["query_id"].to_numpy(), asked["bound"].fillna(np.inf).to_numpy(float)
         px, pq = index.project(x, False), index.project(q, True)
-        x2 = (px * px).sum(1)
-        out = []
-        for i, (own, bound) in enumerate(zip(asked["query_id"], asked["bound"].fillna(np.inf), strict=True)):
-            near = x2 - 2 * (px @ pq[i]) + pq[i] @ pq[i]
-            base = index.norm**2 + q[i] @ q[i]
-            order = np.argsort(near, kind="stable")
-            best_id, best_score, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 256
-            while at < len(order) and near[order[at]] <= chi * bound * (1 + 1e-9) + 1e-9:
-                rows = order[at : at + step]
-                rows = rows[ids[rows] != own]
-                score = (x[rows] * q[i]).sum(1)
-                best_id, best_score = np.append(best_id, ids[rows]), np.append(best_score, score)
-                first = np.lexsort((best_id, -best_score))[:k]
-                best_id, best_score = best_id[first], best_score[first]
-                if len(first) == k:
-                    bound = min(bound, max(0.0, base - 2 * best_score[-1]))
-                at += step
-            out.append((np.full(len(best_id), own), best_id, best_score))
+        x2, out = (px * px).sum(1), []
+        for at in range(0, len(q), 256):
+            part = slice(at, at + 256)
+            near = x2 - 2 * pq[part] @ px.T + (pq[part] ** 2).sum(1)[:, None]
+            for i, row in enumerate(near, at):
+                rows = verified(x, ids, q[i], names[i], row, bounds[i], index.norm, k, chi)
+                out.append((np.full(len(rows), names[i]), ids[rows], (x[rows] * q[i]).sum(1)))
         return pd.DataFrame({n: np.concatenate([o[c] for o in out]) for c, n in enumerate(("query_id", "vec_id", "score"))})
 
     return visits.groupBy("unit").cogroup(cells.groupBy("unit")).applyInPandas(look, "query_id long, vec_id long, score double")
