@@ -217,6 +217,20 @@ def test_mixing(spark, odd, empty):
     assert mixing.mixture(empty, docs, {"en": 1.0}).count() == 0 and mixing.mixture(odd, empty, {"en": 1.0}).count() == len(ODD)
 
 
+@pytest.mark.parametrize("n", [0, 5, 256, 257, 1500, 6000])
+def test_verified_blocks_equal_brute_force(n):
+    r = np.random.default_rng(n)
+    x, q, ids = r.standard_normal((n, 9)), r.standard_normal(9), r.permutation(n)
+    x[n // 2 :] = x[: n - n // 2]  # every row twice: ties
+    near, score = r.random(n), (x * q).sum(1)
+    norm = float(np.sqrt((x * x).sum(1).max())) if n else 1.0
+    rows = neighbours.verified(x, ids, q, 3, near, np.inf, norm, 20, 1e9)
+    want = [i for i in np.lexsort((ids, -score)) if ids[i] != 3][:20]
+    assert list(ids[rows]) == list(ids[want])
+    few = neighbours.verified(x, ids, q, 3, near, 0.5, norm, 20, 1.0)  # a bound: what is beyond it never counts
+    assert (near[few] <= 0.5 + 1e-8).all()
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(8)
     x = r.standard_normal((600, 16))
