@@ -217,6 +217,29 @@ def test_mixing(spark, odd, empty):
     assert mixing.mixture(empty, docs, {"en": 1.0}).count() == 0 and mixing.mixture(odd, empty, {"en": 1.0}).count() == len(ODD)
 
 
+@pytest.mark.parametrize("share", [0.01, 0.001])
+def test_mixing_meets_targets_of_rare_domains(spark, share):
+    known = spark.createDataFrame([([1.0, 0.0], 1e6 * (1 - share)), ([0.0, 1.0], 1e6 * share)], "__p array<double>, __n double")
+    pull = 1e-4 * share
+    push = mixing.fit_rates(known, [0.8, 0.2], 1e6, pull)
+    got = {r["__p"][1]: r["r"] for r in known.select("__p", mixing.rate(push).alias("r")).collect()}
+    assert abs(got[1.0] / ((0.2 + pull) / (share + pull)) - 1) < 1e-5 and abs(got[1.0] * share - 0.2) < 1e-4
+    assert abs(got[0.0] / ((0.8 + pull) / (1 - share + pull)) - 1) < 1e-5
+
+
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_mixing_rates_are_least_squares(spark, least):
+    r = np.random.default_rng(5)
+    p, n = r.dirichlet([0.3, 0.2, 0.01], 80), r.integers(1, 900, 80).astype(float)
+    known = spark.createDataFrame([(x.tolist(), float(k)) for x, k in zip(p, n, strict=True)], "__p array<double>, __n double")
+    w, total, pull = np.array([0.1, 0.3, 0.6]), n.sum() * (1.5 if least else 1), 1e-4
+    push = mixing.fit_rates(known, w.tolist(), float(total), pull, least)
+    rows = known.select("__p", "__n", mixing.rate(push, least).alias("r")).collect()
+    p, n, x = (np.array([q[i] for q in rows]) for i in range(3))
+    slope = p @ ((n * x) @ p / total - w) + pull * (x - 1)  # zero where the rate is free, at least zero where it is bound
+    assert np.abs(slope[x > least]).max() < 1e-5 and slope[x <= least].min(initial=0) > -1e-5
+
+
 @pytest.mark.parametrize("n", [0, 5, 256, 257, 1500, 6000])
 def test_verified_blocks_equal_brute_force(n):
     r = np.random.default_rng(n)
