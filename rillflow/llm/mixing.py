@@ -1,7 +1,7 @@
 """Mixing domains to target weights with soft membership.
 
-A multinomial naive Bayes classifier is learned from documents whose domain is labelled: the words that mark each
-domain and how often. It gives every document a posterior over the domains. Documents then get rates, how often
+A multinomial naive Bayes classifier is learned from documents whose domain is labelled: how often each of their
+words stands in each domain. It gives every document a posterior over the domains. Documents then get rates, how often
 each is to be used, such that the expected tokens of each domain (tokens times posterior times rate) meet the
 targets: least squares with a pull towards rate 1 that is small beside the rarest domain's share, solved to a stated
 tolerance. A document's rate depends on its posterior and one number for each domain alone (see fit_rates); each step
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -26,75 +27,81 @@ from .common import cut
 
 @dataclass(frozen=True)
 class Classifier:
-    """Per domain the log prior; per marker word, and for all other words, the log shares by domain."""
+    """Per domain the log prior; words: every word of the sample (w) with its log share in each domain (l0, l1, ...)."""
 
     domains: list[str]
     prior: list[float]
-    markers: list[str]
-    shares: list[list[float]]
-    rest: list[float]
+    words: DataFrame | None
 
 
-def padded(text: Column) -> Column:
-    """Lower case, every word between spaces of its own side: ' a b '."""
-    return F.concat(F.lit(" "), F.translate(F.lower(F.coalesce(text, F.lit(""))), "\n\t", "  "), F.lit(" "))
-
-
-def times(column: str, part: str) -> Column:
-    """Occurrences of part that do not overlap."""
-    return (F.octet_length(column) - F.octet_length(F.replace(F.col(column), F.lit(part), F.lit("")))) / len(part.encode())
+def tokens(text: Column) -> Column:
+    """Lower-case words between spaces, tabs and line ends; some may be empty."""
+    return F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), "\n\t", "  "), " ")
 
 
 def words(column: str) -> Column:
     """Tokens are counted by the spaces between them."""
-    return F.when(F.length(F.trim(column)) == 0, F.lit(0.0)).otherwise(times(column, " ") - 1)
+    text = F.translate(F.coalesce(F.col(column), F.lit("")), "\n\t", "  ")
+    return F.when(F.length(F.trim(text)) == 0, F.lit(0.0)).otherwise(F.octet_length(text) - F.octet_length(F.translate(text, " ", "")) + 1.0)
+
 
+def spread(sizes: list[int], rows: int) -> list[int]:
+    """How many of each size to take, `rows` in all: the same of each, and of those that have fewer, all."""
+    left, out = rows, {}
+    for k, i in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        out[i] = min(sizes[i], max(1, left // (len(sizes) - k)))
+        left -= out[i]
+    return [out[i] for i in range(len(sizes))]
 
-def learn(docs: DataFrame, labelled: DataFrame, domain: str, markers: int = 6, rows: int = 5_000) -> Classifier:
-    """From at most `rows` labelled documents: `markers` words for each domain, by how much more often they occur there.
 
+def learn(docs: DataFrame, labelled: DataFrame, domain: str, rows: int = 5_000, blend: float = 0.1) -> Classifier:
+    """From at most `rows` labelled documents, drawn for each domain (so rare ones have their share): how often each word stands in each domain.
+
+    All words of the sample count. A word's share in a domain is `blend` parts its mean share over the domains, so no
+    word alone decides and rare domains are not favoured by words that they lack. The prior comes from all labelled ones.
     labelled: doc_id and domain of the documents that may train; their texts come from docs. Only these two columns are
-    shuffled and sorted to choose by a hash; what was chosen, `rows` at most, is sent to the texts. Repeated ids all train.
+    shuffled and sorted to choose by a hash; what was chosen, `rows` at most (one for each domain at least), is sent to
+    the texts. Repeated ids all train.
     """
-    named = labelled.select("doc_id", F.col(domain).cast("string").alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL").distinct()
-    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(rows)
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", padded(F.col("text")).alias("t")))
-    sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").collect()}
+    named = cut(labelled.select("doc_id", F.col(domain).cast("string").alias("domain")).where("doc_id IS NOT NULL AND domain IS NOT NULL").distinct())
+    sizes = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy("domain").collect()}
     if not sizes:
-        return Classifier([], [], [], [], [])
+        return Classifier([], [], None)
     domains, n = list(sizes), sum(sizes.values())
-    split = sample.select("domain", F.explode(F.array_distinct(F.split(F.trim("t"), " +"))).alias("w")).where("length(w) > 0")
-    counts = split.groupBy("w").pivot("domain", domains).count().fillna(0).where(" + ".join(f"`{d}`" for d in domains) + " >= 20")
-    lead = F.array(*(F.struct((F.col(f"`{d}`") / sizes[d] - (sum(F.col(f"`{x}`") for x in domains) - F.col(f"`{d}`")) / max(1, n - sizes[d])).alias("lead"), F.lit(d).alias("domain")) for d in domains))
-    chosen: list[str] = []
-    for d in domains:
-        own = counts.select("w", F.filter(lead, lambda x: x["domain"] == d)[0]["lead"].alias("lead"))
-        chosen += [r["w"] for r in own.orderBy(F.desc("lead"), "w").limit(markers).collect() if r["w"] not in chosen]
-    sums = sample.groupBy("domain").agg(F.sum(words("t")).alias("all"), *(F.sum(times("t", f" {w} ")).alias(f"m{i}") for i, w in enumerate(chosen)))
-    seen = {r["domain"]: r for r in sums.collect()}
-    share = {d: [(seen[d][f"m{i}"] + 0.5) / (seen[d]["all"] + len(chosen) + 1) for i in range(len(chosen))] for d in domains}
-    return Classifier(
-        domains,
-        [math.log(sizes[d] / n) for d in domains],
-        chosen,
-        [[math.log(share[d][i]) for d in domains] for i in range(len(chosen))],
-        [math.log(max(1e-6, 1 - sum(share[d]))) for d in domains],
-    )
+    quota = named.sparkSession.createDataFrame([(d, q, min(1.0, (1.2 * q + 50) / sizes[d])) for d, q in zip(domains, spread(list(sizes.values()), rows), strict=True)], "domain string, quota long, near double")
+    # the hash leaves few more rows than wanted before any are ranked
+    close = named.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(quota), "domain").where(F.pmod("h", F.lit(1 << 30)) < F.col("near") * float(1 << 30))
+    chosen = close.withColumn("k", F.row_number().over(W.partitionBy("domain").orderBy("h", "doc_id"))).where("k <= quota").select("doc_id", "domain")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", F.explode(tokens(F.col("text"))).alias("w")).where("w <> ''")
+    counts = cut(sample.groupBy("w").pivot("domain", domains).count().fillna(0).toDF("w", *(f"c{i}" for i in range(len(domains)))))
+    totals = [max(1, x or 0) for x in counts.agg(*(F.sum(f"c{i}") for i in range(len(domains)))).first()]
+    own = [F.col(f"c{i}") / x for i, x in enumerate(totals)]
+    mean = sum(own, F.lit(0.0)) / len(domains)
+    logs = (F.log((1 - blend) * x + blend * mean).alias(f"l{i}") for i, x in enumerate(own))
+    return Classifier(domains, [math.log(sizes[d] / n) for d in domains], cut(counts.select("w", *logs)))
 
 
 def posteriors(docs: DataFrame, by: Classifier, evidence: float = 60.0, digits: int = 2) -> DataFrame:
-    """docs with __n (tokens) and __p (posterior over the domains). The evidence of more than `evidence` words counts as that of so many, which keeps membership soft."""
-    out = docs.withColumn("__t", padded(F.col("text"))).withColumn("__n", words("__t"))
-    out = out.withColumns({f"__m{i}": times("__t", f" {w} ") for i, w in enumerate(by.markers)})
+    """docs' columns but the text, __n (tokens) and __p (posterior over the domains), one row for each of docs.
+
+    Every word of the whole text counts that the sample holds; others say nothing. The evidence of more than `evidence`
+    words counts as that of so many, which keeps membership soft. No column of docs but the text should be large: they are shuffled.
+    """
+    kept = [c for c in docs.columns if c != "text"]
+    k = range(len(by.domains))
+    out = docs.withColumn("__n", words("text")).withColumn("__row", F.monotonically_increasing_id())
+    if by.words is not None:
+        said = out.select("__row", "__n", *(F.col(f"`{c}`") for c in kept), F.explode_outer(tokens(F.col("text"))).alias("w")).join(F.broadcast(by.words), "w", "left")
+        out = said.groupBy("__row", "__n", *(F.col(f"`{c}`") for c in kept)).agg(*(F.coalesce(F.sum(f"l{d}"), F.lit(0.0)).alias(f"l{d}") for d in k))
+    else:
+        out = out.withColumns({f"l{d}": F.lit(0.0) for d in k})
     scale = F.least(F.lit(1.0), F.lit(evidence) / F.greatest(F.col("__n"), F.lit(1.0)))
-    others = F.greatest(F.col("__n") - sum((F.col(f"__m{i}") for i in range(len(by.markers))), F.lit(0.0)), F.lit(0.0))
-    logs = [F.lit(by.prior[d]) + scale * (others * by.rest[d] + sum((F.col(f"__m{i}") * s[d] for i, s in enumerate(by.shares)), F.lit(0.0))) for d in range(len(by.domains))]
-    out = out.withColumns({f"__l{d}": x for d, x in enumerate(logs)})
-    most = F.greatest(*(F.col(f"__l{d}") for d in range(len(logs)))) if len(logs) > 1 else F.col("__l0")
-    out = out.withColumns({f"__e{d}": F.exp(F.col(f"__l{d}") - most) for d in range(len(logs))})
-    total = sum((F.col(f"__e{d}") for d in range(len(logs))), F.lit(0.0))
-    out = out.withColumn("__p", F.array(*(F.round(F.col(f"__e{d}") / total, digits) for d in range(len(logs)))))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "__n", "__p")
+    out = out.withColumns({f"__l{d}": F.lit(by.prior[d]) + scale * F.col(f"l{d}") for d in k})
+    most = F.greatest(*(F.col(f"__l{d}") for d in k)) if len(k) > 1 else F.col("__l0")
+    out = out.withColumns({f"__e{d}": F.exp(F.col(f"__l{d}") - most) for d in k})
+    total = sum((F.col(f"__e{d}") for d in k), F.lit(0.0))
+    out = out.withColumn("__p", F.array(*(F.round(F.col(f"__e{d}") / total, digits) for d in k)))
+    return out.select(*(F.col(f"`{c}`") for c in kept), "__n", "__p")
 
 
 def rate(push: list[float], least: float = 0.0) -> Column:
@@ -153,22 +160,18 @@ def fit_rates(known: DataFrame, targets: list[float], total: float, pull: float,
     return u.tolist()
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None, domain: str = "lang", flatten: float = 0.7, keep_all: bool = False, columns: list[str] | None = None) -> DataFrame:
-    """docs with __n, __p, __rate and __copies, and the classifier's domains in the order of __p.
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None, domain: str = "lang", flatten: float = 0.7, keep_all: bool = False) -> DataFrame:
+    """doc_id and __hash of the text of every row of docs with __n, __p, __rate, __copies and __domains, the classifier's domains in the order of __p.
 
     weights: target share of each domain; None stands for the corpus's own expected shares to the power `flatten`.
-    columns: those of docs to keep; without the text among them, the scores are stored instead of worked out twice.
     keep_all: rates of at least 1, for a total that makes this possible; else the total stays that of the corpus.
     """
     by = learn(docs, labelled, domain)
     if not by.domains:
         names = sorted(weights or {"all": 1.0})
-        by = Classifier(names, [0.0] * len(names), [], [], [0.0] * len(names))
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    scored = posteriors(docs, by).withColumn("__chance", chance)
-    if columns is not None:
-        scored = scored.select(*(F.col(f"`{c}`") for c in columns), "__n", "__p", "__chance")
-        scored = scored if "text" in columns else cut(scored)
+        by = Classifier(names, [0.0] * len(names), None)
+    scored = cut(posteriors(docs.select("doc_id", "text", text_hash().alias("__hash")), by))
+    scored = scored.withColumn("__chance", F.pmod(F.xxhash64("doc_id", "__hash"), F.lit(1 << 20)) / float(1 << 20))
     known = cut(scored.groupBy("__p").agg(F.sum("__n").alias("__n")))
     first = known.agg(*(F.sum(F.col("__n") * F.col("__p")[d]).alias(f"d{d}") for d in range(len(by.domains)))).first()
     sums = [x or 0.0 for x in first]
@@ -186,15 +189,21 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None,
     return out.withColumn("__copies", F.floor(F.col("__rate") + F.col("__chance")).cast("int")).withColumn("__domains", F.array(*map(F.lit, by.domains)))
 
 
+def text_hash() -> Column:
+    """128 bits of a text; null has its own."""
+    return F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null"))
+
+
 def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None, **how) -> DataFrame:
     """doc_id, n_tokens, domain (likeliest; the first of equals), posterior (in the order of domains), rate, copies of every row."""
-    out = mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labelled, weights, columns=["doc_id"], **how)
+    out = mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labelled, weights, **how)
     best = F.element_at("__domains", F.array_position("__p", F.array_max("__p")).cast("int"))
     return out.select("doc_id", F.col("__n").cast("long").alias("n_tokens"), best.alias("domain"), F.col("__domains").alias("domains"), F.col("__p").alias("posterior"), F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, **how) -> DataFrame:
     """The rows of docs, all columns, each as often as its copies say."""
-    # stored first: a condition on the copies would be pushed into the scores and written out once for each use of them
-    out = cut(mix(docs, labelled, weights, **how).select(*(F.col(f"`{c}`") for c in docs.columns), "__copies"))
-    return out.where("__copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # rows of the same id and text have the same copies; stored, so that the rates are worked out once
+    copies = cut(mix(docs, labelled, weights, **how).select(F.col("doc_id").alias("__id"), "__hash", "__copies").dropDuplicates(["__id", "__hash"]).where("__copies > 0"))
+    out = docs.withColumn("__h", text_hash()).join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
+    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

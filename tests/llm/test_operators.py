@@ -227,6 +227,19 @@ def test_mixing_meets_targets_of_rare_domains(spark, share):
     assert abs(got[0.0] / ((0.8 + pull) / (1 - share + pull)) - 1) < 1e-5
 
 
+def test_mixing_tells_rare_domains_apart_by_rare_words(spark):
+    r = random.Random(3)
+    words = {d: [f"{d}{i}" for i in range(n)] for d, n in (("en", 400), ("de", 60), ("fr", 60))}  # each word in few documents
+    kinds = ["de"] * 4 + ["fr"] * 3 + ["en"] * 300
+    rows = [(i, " ".join(r.choice(words[d] + ["x", "y"]) for _ in range(40)), d) for i, d in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = mixing.mixture(docs, docs, {"en": 0.4, "de": 0.3, "fr": 0.3}).collect()
+    assert [o.doc_id for o in got if o.domain != rows[o.doc_id][2]] == []
+    for d, w in (("en", 0.4), ("de", 0.3), ("fr", 0.3)):
+        assert abs(sum(o.rate * o.n_tokens for o in got if o.domain == d) / sum(o.n_tokens for o in got) - w) < 0.01
+    assert mixing.spread([10, 9000, 3], 1000) == [10, 987, 3]
+
+
 @pytest.mark.parametrize("least", [0.0, 1.0])
 def test_mixing_rates_are_least_squares(spark, least):
     r = np.random.default_rng(5)
