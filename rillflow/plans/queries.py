@@ -296,6 +296,17 @@ def edges_from_io(spark, sf):
     return f.join(made, "path").where("made < mtime").select(F.col("job").alias("dst"), "src", "path").distinct()
 
 
+@query(f"SELECT DISTINCT a.job AS dst, b.job AS src, a.path FROM {FILES} a JOIN {FILES} b ON a.path = b.path AND b.mtime < a.mtime AND b.temp")
+def edges_from_io_all(spark, sf):
+    """All producers, whatever their size."""
+    return io_edges(files(spark, sf))
+
+
+def io_edges(f):
+    made = f.where("temp").select(F.col("job").alias("src"), "path", F.col("mtime").alias("made"))
+    return f.join(made, "path").where("made < mtime").select(F.col("job").alias("dst"), "src", "path").distinct()
+
+
 @query("SELECT o_orderkey AS job FROM orders ANTI JOIN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N') l ON l_orderkey = o_orderkey")
 def missing_output(spark, sf):
     done = table(spark, sf, "lineitem").where("l_returnflag = 'N'")
@@ -350,6 +361,12 @@ def components(spark, sf):
     return G.components(edges(spark, sf).where("dst % 3 <> 0"))
 
 
+@query()
+def components_all(spark, sf):
+    """All edges. No SQL: its all-pairs recursion is too large on the whole graph; a test holds the operator to brute force."""
+    return G.components(edges(spark, sf))
+
+
 _OWN = "p_size = 7"
 
 
