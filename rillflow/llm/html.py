@@ -3,7 +3,7 @@
 The standard library's streaming parser turns a page into lines (one for each block) with the number of tags
 met in each. The text-to-tag ratio of the lines is smoothed with a Gaussian and split into two clusters; lines
 of the upper one mark the content regions. A region reaches over the article or main element that it stands
-in; without one, it reaches over gaps of at most `gap` lines. Page furniture (menus, headers, footers, side
+in; without one, over the smallest box (body, division or section) that holds all marked lines. Page furniture (menus, headers, footers, side
 bars, notices, adverts, forms, scripts, styles, reader comments) never counts.
 
 Defined results: null or empty html gives empty text; markup that the parser rejects is read as text.
@@ -23,34 +23,41 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 #: Elements by their role, and words of class or id that mark page furniture.
-BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 BOXES = set("article aside body blockquote details dialog div dl fieldset figure footer form header html main menu nav ol section table ul".split())
 FURNITURE = set("aside dialog footer form header menu nav".split())
-SILENT = set("audio button canvas datalist head iframe map math noscript object option script select style svg template textarea title video".split())
+SILENT = set("audio button canvas datalist iframe map math noscript object script select style svg template textarea title video".split())
+#: Boxes that can be a region; lists, tables, quotes and the like are parts of one.
+REGIONS = set("body div html section".split())
 MARKS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies discussion disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
 WORDS = re.compile(r"[A-Za-z]+")
 SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """rows: (text, tags, article it stands in or -1, furniture)."""
+    """rows: (text, tags, article it stands in or -1, furniture, innermost box or -1); boxes: (tag, box around it or -1, depth).
+
+    The end tags of head and option may be left out, so neither silences by itself: what head may hold is silent of its
+    own, and options stand in a select or datalist.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str, int, int, bool]] = []
-        self.open: list[tuple[str, bool, int]] = []
+        self.rows: list[tuple[str, int, int, bool, int]] = []
+        self.open: list[tuple[str, bool, int, int]] = []
+        self.boxes: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
         self.tags = self.silent = self.articles = 0
 
-    def _state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, -1)
+    def _state(self) -> tuple[bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, -1, -1)
 
     def line(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                hidden, article = self._state()
-                self.rows.append((text, self.tags, article, hidden))
+                hidden, article, box = self._state()
+                self.rows.append((text, self.tags, article, hidden, box))
             self.parts = []
         self.tags = 0
 
@@ -58,20 +65,23 @@ class Lines(HTMLParser):
         if tag in SILENT:
             self.silent += 1
             return
+        if tag == "option":
+            return
         if tag in BLOCKS:
             self.line()
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
         if tag in BOXES:
-            hidden, article = self._state()
+            hidden, article, box = self._state()
             said = dict(attrs)
             names = {x.lower() for k in ("class", "id", "role") for x in WORDS.findall(said.get(k) or "")}
             marked = tag in FURNITURE or (bool(names & MARKS) and tag not in ("body", "html"))
             if tag in ("article", "main") and not marked and article < 0 and not any("comment" in x for x in names):
                 article, hidden = self.articles, hidden and any(t in FURNITURE for t, *_ in self.open)
                 self.articles += 1
-            self.open.append((tag, hidden or marked or "hidden" in said, article))
+            self.boxes.append((tag, box, len(self.open)))
+            self.open.append((tag, hidden or marked or "hidden" in said, article, len(self.boxes) - 1))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag not in SILENT:
@@ -83,6 +93,8 @@ class Lines(HTMLParser):
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
             return
+        if tag == "option":
+            return
         if tag in BLOCKS:
             self.line()
         self.tags += 1
@@ -96,7 +108,7 @@ class Lines(HTMLParser):
             self.parts.append(data)
 
 
-def lines(html: str) -> list[tuple[str, int, int, bool]]:
+def lines(html: str) -> Lines:
     parser = Lines()
     try:
         parser.feed(html)
@@ -106,7 +118,31 @@ def lines(html: str) -> list[tuple[str, int, int, bool]]:
         parser.feed(html.replace("<![", "&lt;!["))
         parser.close()
     parser.line()
-    return parser.rows
+    return parser
+
+
+def region(boxes: list[tuple[str, int, int]], some: Iterable[int]) -> int:
+    """The smallest region that holds all of some boxes; -1 is the page."""
+    depth = lambda b: boxes[b][2] if b >= 0 else -1
+    a, *others = set(some)
+    for b in others:
+        while a != b:
+            if depth(a) >= depth(b):
+                a = boxes[a][1]
+            else:
+                b = boxes[b][1]
+    while a >= 0 and boxes[a][0] not in REGIONS:
+        a = boxes[a][1]
+    return a
+
+
+def within(boxes: list[tuple[str, int, int]], outer: int) -> set[int]:
+    """outer and all boxes in it."""
+    found = {outer}
+    for b, (_, around, _) in enumerate(boxes):
+        if around in found:
+            found.add(b)
+    return found
 
 
 def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -129,31 +165,29 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
     return np.ones(len(values), bool)
 
 
-def main_text(html: str | None, sigma: float = 1.0, gap: int = 2) -> str:
-    rows = [r for r in lines(html or "") if not r[3]]
+def main_text(html: str | None, sigma: float = 1.0) -> str:
+    page = lines(html or "")
+    rows = [r for r in page.rows if not r[3]]
     if not rows:
         return ""
-    ratio = np.array([len(t) / max(1, tags) for t, tags, _, _ in rows])
+    ratio = np.array([len(t) / max(1, tags) for t, tags, *_ in rows])
     chosen = upper_cluster(smoothed(ratio, sigma))
-    held = {a for (_, _, a, _), c in zip(rows, chosen, strict=True) if c and a >= 0}
-    if not held and (named := {a for *_, a, _ in rows if a >= 0}):
+    held = {a for (_, _, a, *_), c in zip(rows, chosen, strict=True) if c and a >= 0}
+    if not held and (named := {a for _, _, a, *_ in rows if a >= 0}):
         held = named
     if held:
-        return "\n".join(t for t, _, a, _ in rows if a in held)
-    at = np.flatnonzero(chosen)
-    near = np.abs(np.arange(len(rows))[:, None] - at[np.clip(np.searchsorted(at, np.arange(len(rows)))[:, None] + [-1, 0], 0, len(at) - 1)])
-    inside = (np.arange(len(rows)) >= at[0]) & (np.arange(len(rows)) <= at[-1])
-    keep = chosen | (inside & (near.sum(1) <= gap + 1))
-    return "\n".join(r[0] for r, k in zip(rows, keep, strict=True) if k)
+        return "\n".join(t for t, _, a, *_ in rows if a in held)
+    kept = within(page.boxes, region(page.boxes, (r[4] for r, c in zip(rows, chosen, strict=True) if c)))
+    return "\n".join(r[0] for r in rows if r[4] in kept)
 
 
-def extract_text(pages: DataFrame, sigma: float = 1.0, gap: int = 2) -> DataFrame:
+def extract_text(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages; one row for each, repeated rows included."""
 
     def make():
         def f(ids: list, urls: list, htmls: list) -> Iterable[tuple]:
             for i, u, h in zip(ids, urls, htmls, strict=True):
-                text = main_text(h, sigma, gap)
+                text = main_text(h, sigma)
                 yield i, u, text, len(text)
 
         return f

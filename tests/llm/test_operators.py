@@ -55,6 +55,24 @@ def test_html(spark):
     assert sorted(r.n_chars for r in rows) == [0, 24]
 
 
+def test_html_end_tags_left_out():
+    assert html.main_text("<html><head><title>x</title><body><p>text") == "text"
+    assert html.main_text("<title>x</title><meta charset=utf-8><p>text") == "text"
+    pick = "<p>before<select><option>one<option selected>two<optgroup label=g><option>three</select> it<datalist><option>four</datalist><p>after"
+    assert html.main_text(pick) == "before it\nafter"
+
+
+@pytest.mark.parametrize("part", ["<ul>{}</ul>", "<table>{}</table>", "{}"])
+def test_html_keeps_short_lines_without_article(part):
+    long, short = "many words that make up a long paragraph of text " * 6, "".join(f"<li><b>i{k}</b>" for k in range(9))
+    page = f"<body><nav><a>menu</a></nav><div><h1>T</h1><p>s{part.format(short)}<p>{long}{part.format(short)}<p>{long}{part.format(short)}</div><div class=sidebar>bad</div>"
+    items = [f"i{k}" for k in range(9)]
+    first = ["T", "s", *items]
+    assert html.main_text(page).split("\n") == [*first, long.strip(), *items, long.strip(), *items]
+    quote = f"<div><p>said<blockquote><p>{long}</blockquote><p>end</div>"
+    assert html.main_text(quote) == f"said\n{long.strip()}\nend"
+
+
 def test_licenses(odd, empty):
     rows = {(r.doc_id, r.n_words): r for r in licenses.scan_licenses(odd).collect()}
     r = rows[(5, 12)] if (5, 12) in rows else next(v for k, v in rows.items() if k[0] == 5)
