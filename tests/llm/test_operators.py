@@ -92,6 +92,31 @@ def test_license_filters_lose_nothing(threshold):
         assert [k for k, _ in known.matches(block)] == want
 
 
+def test_licenses_wrapped_notices_and_long_lines(spark):
+    bsd = "# Redistribution and use in source and binary forms,\n# with or without modification,\n# are permitted"
+    grant = "x\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy\nof this software"
+    spread = " ".join(w + " filler" * 500 for w in licenses.TEMPLATES["mit-grant"].split())
+    twice = "Licensed under the Apache\nLicense, Version 2.0\n" * 2
+    docs = spark.createDataFrame(list(enumerate([bsd, grant, spread, twice, spread + "\n" + grant])), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.blocks, r.score) for r in licenses.scan_licenses(docs).collect()}
+    assert got[0] == ("bsd", ["0:bsd"], 1.0) and got[1] == ("mit-grant", ["2:mit-grant"], 1.0) and got[2] == ("", [], 0.0)
+    assert got[3] == ("apache-2.0", ["0:apache-2.0", "2:apache-2.0"], 1.0) and got[4][0] == "mit-grant" and got[4][2] == 1.0
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_license_runs_equal_brute_force(threshold):
+    r = random.Random(6)
+    names = [f"t{k}" for k in range(9)]
+    sets = {f"k{i}": " ".join(r.sample(names, r.randint(1, 7))) for i in range(8)}
+    known = licenses.Templates(sets, threshold, {n.encode(): r.randint(0, 9) for n in names})
+    for _ in range(200):
+        words = [r.choice([*names, *["z"] * 12]).encode() for _ in range(r.randint(0, 90))]
+        most = {k: max((len(v & set(words[i : i + known.width[k]])) for i in range(len(words))), default=0) for k, v in known.sets.items()}
+        got = known.runs(words)
+        assert {k: share for _, k, share in got} == {k: n / len(known.sets[k]) for k, n in most.items() if n >= known.need[k]}
+        assert all(len(known.sets[k] & set(words[at : at + known.width[k]])) >= known.need[k] for at, k, _ in got)
+
+
 def test_packing(odd, empty):
     rows = packing.pack_documents(odd, 64).collect()
     encode = packing.Encoder(packing.default_tokenizer()).encode
