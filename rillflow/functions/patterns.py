@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rillflow.operators.planning import numbered
+
 _WILDCARD = re.compile(r"\{\s*(\w+)\s*(?:,\s*((?:[^{}]|\{\d*,?\d*\})*?)\s*)?\}")
 
 
@@ -82,7 +84,7 @@ def expand(pattern: str, tables: dict[str, DataFrame], how: str = "product", all
     for k, t in used.items():
         t = t.select(F.col(t.columns[0]).alias(k))
         if how == "zip":
-            t = t.withColumn("__n", F.row_number().over(W.orderBy(k)))
+            t = numbered(t, [], [F.col(k)], "__n")
             joined = t if joined is None else joined.join(t, "__n")
         else:
             joined = t if joined is None else joined.crossJoin(t)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,20 +56,75 @@ def merge_resources(rows: DataFrame) -> DataFrame:
     return level.groupBy("group").agg(F.sum("runtime").alias("runtime"), F.max("mem").alias("mem"))
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """rows with their place, from 1, in the order given, within the columns `by` (none: of all rows).
+
+    Rows are dealt out by ranges of (by, order), equal ones too, and counts over the ranges give each its offset, so no
+    task sees more than a range, however large a group is.
+    """
+    from .graph import stored
+
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    split = stored(tied.repartitionByRange(*by, *order, "__tie").withColumn("__p", F.spark_partition_id()))
+    same = [F.col(c) for c in by]
+    sizes = split.groupBy(*by, "__p").count()
+    before = F.coalesce(F.sum("count").over(W.partitionBy(*same).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = stored(sizes.select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(by)), F.col("__p").alias("__q"), before.alias("__before")))  # one row for each range and group in it
+    match = F.col("__p") == F.col("__q")
+    for k, c in enumerate(by):
+        match = match & F.col(c).eqNullSafe(F.col(f"__{k}"))
+    ranked = split.withColumn(name, F.row_number().over(W.partitionBy(*same, "__p").orderBy(*order, "__tie"))).join(offsets, match)
+    return ranked.select(*rows.columns, (F.col(name) + F.col("__before")).cast("long").alias(name))
+
+
+def fit_counts(counts: list[tuple[int, int]], room: int) -> list[tuple[int, int, int, int, int]]:
+    """counts: (mem, jobs), largest mem first -> (mem, first rank, rank after the last, first layer, jobs in each layer), ranks from 0.
+
+    Jobs of the same mem fill layer after layer, so layers with the same room left are held as one run.
+    """
+    runs: list[tuple[int, int, int]] = []  # first layer, layers, room left in each
+    layers, out = 0, []
+    for mem, jobs in counts:
+        rank, new = 0, []
+        for first, n, left in runs:
+            todo = jobs - rank
+            each = 0 if left < mem or not todo else left // mem if mem > 0 else todo
+            if not each:
+                new.append((first, n, left))
+                continue
+            full = min(n, todo // each)
+            some = min(todo - full * each, each) if full < n else 0
+            out.append((mem, rank, rank + full * each + some, first, each))
+            rank += full * each + some
+            new += [x for x in ((first, full, left - each * mem), (first + full, 1 if some else 0, left - some * mem), (first + full + bool(some), n - full - bool(some), left)) if x[1]]
+        runs = new
+        if (todo := jobs - rank) > 0:
+            each = max(1, room // mem) if mem > 0 else todo
+            full, some = divmod(todo, each)
+            out.append((mem, rank, jobs, layers, each))
+            runs += [x for x in ((layers, full, room - each * mem), (layers + full, 1 if some else 0, room - some * mem)) if x[1]]
+            layers += full + bool(some)
+    return out
+
+
 def first_fit(rows: DataFrame, room: int) -> DataFrame:
-    """rows: group, job, mem, runtime -> layer of each job: largest share first, into the first layer with room. A group is one unit of work and small by nature."""
-
-    def pack(group):  # noqa: ANN001, ANN202
-        free, out = [], []
-        for r in group.sort_values(["mem", "runtime", "job"], ascending=[False, False, True]).itertuples():
-            at = next((k for k, left in enumerate(free) if left >= r.mem), len(free))
-            if at == len(free):
-                free.append(room)
-            free[at] -= r.mem
-            out.append(at)
-        return group.sort_values(["mem", "runtime", "job"], ascending=[False, False, True]).assign(layer=out)[["group", "job", "layer"]]
-
-    return rows.groupBy("group").applyInPandas(pack, "group long, job long, layer long")
+    """rows: group, job, mem, runtime -> layer of each job: largest share first, into the first layer with room.
+
+    Only the counts of a group's jobs by mem go to one task, where they are fitted; jobs find their layer by their rank.
+    """
+
+    def fit(group):  # noqa: ANN001, ANN202
+        found = fit_counts([(int(m), int(n)) for m, n in group.sort_values("mem", ascending=False)[["mem", "count"]].itertuples(index=False)], room)
+        out = pd.DataFrame(found, columns=["mem", "low", "high", "first", "each"])
+        return out.assign(group=group["group"].iloc[0])[["group", "mem", "low", "high", "first", "each"]]
+
+    fitted = rows.groupBy("group", "mem").count().groupBy("group").applyInPandas(fit, "group long, mem long, low long, high long, first long, each long")
+    fitted = fitted.groupBy("group", "mem").agg(F.collect_list(F.struct("low", "high", "first", "each")).alias("__fit"))
+    ranked = numbered(rows.select("group", "job", "mem", "runtime"), ["group", "mem"], [F.desc("runtime"), F.col("job")], "__rank")
+    fitted = fitted.select(F.col("group").alias("__g"), F.col("mem").alias("__m"), "__fit")
+    ranked = ranked.join(fitted, F.col("group").eqNullSafe(F.col("__g")) & (F.col("mem") == F.col("__m"))).withColumn("__rank", F.col("__rank") - 1)
+    own = F.filter("__fit", lambda x: (x["low"] <= F.col("__rank")) & (F.col("__rank") < x["high"]))[0]
+    return ranked.select("group", "job", (own["first"] + F.floor((F.col("__rank") - own["low"]) / own["each"])).cast("long").alias("layer"))
 
 
 def summary_status(missing: Column, updated: Column, code: Column, inputs: Column, params: Column) -> Column:

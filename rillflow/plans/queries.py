@@ -443,8 +443,8 @@ def running_total_resources(spark, sf):
 @query(f"SELECT rule, job, row_number() OVER (PARTITION BY rule ORDER BY priority DESC, temp_size DESC, size DESC, job) AS place FROM {JOBS} j JOIN (SELECT job, CAST(sum(CASE WHEN temp THEN size ELSE 0 END) AS BIGINT) AS temp_size, CAST(sum(size) AS BIGINT) AS size FROM {FILES} GROUP BY job) s USING (job)")
 def greedy_priority_order(spark, sf):
     sizes = files(spark, sf).groupBy("job").agg(F.sum(F.when(F.col("temp"), F.col("size")).otherwise(0)).alias("temp_size"), F.sum("size").alias("size"))
-    order = W.partitionBy("rule").orderBy(F.desc("priority"), F.desc("temp_size"), F.desc("size"), "job")
-    return jobs(spark, sf).join(sizes, "job").select("rule", "job", F.row_number().over(order).cast("long").alias("place"))
+    order = [F.desc("priority"), F.desc("temp_size"), F.desc("size"), F.col("job")]
+    return L.numbered(jobs(spark, sf).join(sizes, "job"), ["rule"], order, "place").select("rule", "job", "place")
 
 
 @query("SELECT o_custkey AS grp, CAST(sum(runtime) AS BIGINT) AS runtime, CAST(max(mem) AS BIGINT) AS mem FROM (SELECT o_custkey, level, sum(runtime) AS runtime, max(mem) AS mem FROM (SELECT o_custkey, o_orderstatus AS level, o_orderpriority AS layer, max(o_orderkey % 100) AS runtime, sum(o_orderkey % 64) AS mem FROM orders GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1")

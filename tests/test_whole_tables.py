@@ -2,7 +2,8 @@
 
 import random
 
-from rillflow.operators import graph
+from rillflow.functions import patterns
+from rillflow.operators import graph, planning
 from rillflow.plans.queries import QUERIES
 
 
@@ -29,3 +30,26 @@ def test_components_all_takes_every_edge(spark, tmp_path):
     spark.createDataFrame([(k,) for k in (2, 3, 5, 6, 9, 40, 80, 81)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     got = {x.node: x.component for x in QUERIES["components_all"](spark, str(tmp_path)).collect()}
     assert got == united([(k // 2, k) for k in (2, 3, 5, 6, 9, 40, 80, 81)])
+
+
+def test_first_fit_equals_brute_force(spark):
+    r = random.Random(2)
+    rows = [(r.choice([1, 1, 2, 3]), j, r.choice([1, 5, 9, 30, 64, 100, 140]), r.randrange(3)) for j in range(500)]
+    want = {}
+    for g in {x[0] for x in rows}:
+        free: list = []
+        for _, job, mem, _ in sorted((x for x in rows if x[0] == g), key=lambda x: (-x[2], -x[3], x[1])):
+            at = next((k for k, left in enumerate(free) if left >= mem), len(free))
+            free += [128] * (at == len(free))
+            free[at] -= mem
+            want[g, job] = at
+    got = planning.first_fit(spark.createDataFrame(rows, "group long, job long, mem long, runtime long"), 128).collect()
+    assert {(x.group, x.job): x.layer for x in got} == want and len(got) == len(rows)
+    assert len(planning.fit_counts([(30, 10**9), (5, 10**9)], 128)) < 5  # by runs of layers, not by jobs
+
+
+def test_zip_sorts_no_table_in_one_task(spark):
+    out = patterns.expand("{a}-{b}", {"a": spark.range(300).selectExpr("id % 7 AS a"), "b": spark.range(500).selectExpr("id AS b")}, how="zip")
+    assert "SinglePartition" not in out._jdf.queryExecution().toString()
+    want = [f"{a}-{b}" for a, b in zip(sorted(i % 7 for i in range(300)), range(300))]
+    assert sorted(x.path for x in out.collect()) == sorted(want)
