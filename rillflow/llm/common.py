@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,18 +14,50 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir, or one of our own where it is unset (local mode, as in tests)."""
     sc = spark.sparkContext
     wanted = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not wanted and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="rillflow-"))
     return wanted or sc.getCheckpointDir()
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it each action removes its shuffle files when it ends. For actions that store their rows: nothing reads their shuffles again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Run the plan once and go on from its stored rows; the files go when the DataFrame is no longer used."""
+    """Run the plan once and go on from its stored rows.
+
+    The files stay until forget() or the end of the folder; with spark.cleaner.referenceTracking.cleanCheckpoints Spark
+    removes them once the DataFrame is no longer used.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with tidy(df.sparkSession):
+        return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*cuts: DataFrame) -> None:
+    """Remove the files of what cut() returned, when all that needed them is stored."""
+    for df in cuts:
+        where = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if where.isDefined():
+            remove(df.sparkSession, where.get())
 
 
 class Stored:
@@ -32,14 +66,30 @@ class Stored:
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/rillflow-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with tidy(self.spark):
+            df.write.parquet(self.path)
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
+
+
+def join_spread(rows: DataFrame, other: DataFrame, on: list[str], sizes: DataFrame, by: list[str], parts: int = 2000, least: int = 256) -> DataFrame:
+    """rows joined with other on keys that are not null, where some keys may hold very many rows: these are dealt out by a hash of `by`.
+
+    sizes (stored): the keys and n, their rows. Dealt out are keys with more than a share of 1 / parts of the rows that sizes
+    counts; there are fewer than `parts` of them, so their list can be broadcast whatever the size of the tables.
+    """
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    limit = max(least, -(-(total or 0) // parts))
+    if (most or 0) <= limit:
+        return rows.join(other, on)
+    hot = sizes.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("__parts"))
+    rows = rows.join(F.broadcast(hot), on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__parts")), F.lit(0)).cast("int"))
+    other = other.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1)))
+    return rows.drop("__parts").join(other.drop("__parts"), [*on, "__salt"]).drop("__salt")
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:

@@ -1,15 +1,17 @@
 """Exact removal of repeated byte strings with suffix arrays over shards.
 
-A window is a string of `length` bytes. Suffix arrays over a whole corpus cannot be merged shard by shard in
+A window is a string of `length` bytes; with two lengths the shorter one, and what is said of windows holds for strings of
+the longer one that start where a window does. Suffix arrays over a whole corpus cannot be merged shard by shard in
 reasonable time, so the work is divided by content first, without losing a match. Each window is filed under its
-smallest hash among those of its strings of half the length (equal windows are filed alike), and a run is a
-stretch of window starts filed under one key, with the bytes they cover as its context. Runs whose key occurs
+smallest hash among those of its strings of a third of its length (equal windows are filed alike), and a run is a
+stretch of window starts filed under one key, with the bytes that its strings cover as its context. Runs whose key occurs
 nowhere else hold no repeated window. Runs of one key with equal contexts repeat as a whole and need no further
 look, so thousands of copies count as one. What is left (the ends of repeated passages) forms shards by key:
 each shard's suffix array is made by Larsson-Sadakane refinement, its common prefixes by Kasai's argument, and a
 window is repeated if a neighbour in the array shares `length` bytes. A key with more than `most` different
 contexts is cut into several shards; these exchange digests of their distinct windows, sorted, and find matches
-in each other by binary search.
+in each other by binary search. Joins by key deal out the rows of common keys, so that no passage, however common,
+has all its rows in one task.
 
 Defined results: a null text counts as empty. Texts shorter than `length` keep everything. Repeated rows are
 texts like any others, so they remove each other.
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, cut, map_rows
+from .common import Stored, arrow_schema, cut, forget, join_spread, map_rows
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -68,13 +70,16 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(low[:n], low[w - span : w - span + n])
 
 
-def runs(data: bytes, length: int, longest: int = 4096) -> list[tuple[int, int, int, int, bool]]:
-    """(key, context hash, first start, starts, key occurs twice in this text) of each run of windows."""
-    if len(data) < length:
-        return []
-    k = length // 2
+def runs(data: bytes, near: int, far: int, longest: int = 4096) -> tuple[np.ndarray, ...] | None:
+    """Of each run of windows of `near` bytes: key, context hash, first start, starts, bytes of the context, key occurs twice in this text.
+
+    A context reaches `far` bytes from the last start, or to the text's end.
+    """
+    if len(data) < near:
+        return None
+    k = max(1, near // 3)
     h = gram_hashes(np.frombuffer(data, np.uint8), k)
-    key = window_minima(h, length - k + 1)
+    key = window_minima(h, near - k + 1)
     edge = np.flatnonzero(key[1:] != key[:-1]) + 1
     starts = np.concatenate([[0], edge])
     ends = np.append(edge, len(key))
@@ -86,16 +91,14 @@ def runs(data: bytes, length: int, longest: int = 4096) -> list[tuple[int, int,
     # Occurrences of the keys among all hashes, looked for through a small table first.
     table = np.zeros(1 << 16, bool)
     table[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-    near = h[table[(h & np.uint64(0xFFFF)).astype(np.int64)]]
-    value, times = np.unique(near, return_counts=True)
+    found = h[table[(h & np.uint64(0xFFFF)).astype(np.int64)]]
+    value, times = np.unique(found, return_counts=True)
     twice = times[np.searchsorted(value, keys)] > 1
     digest = xxhash.xxh3_64_intdigest
-    signed = keys.view(np.int64).tolist()
-    out = []
-    for a, s, e, t in zip(signed, starts.tolist(), ends.tolist(), twice.tolist(), strict=True):
-        c = digest(data[s : e - 1 + length])
-        out.append((a, c - (1 << 64) if c >> 63 else c, s, e - s, t))
-    return out
+    stops = np.minimum(ends - 1 + far, len(data))
+    contexts = np.array([digest(data[s:e]) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)], np.uint64)
+    contexts += (ends - starts).astype(np.uint64) * _MIX  # at a text's end equal bytes may hold unequal numbers of starts
+    return keys.view(np.int64), contexts.view(np.int64), starts, ends - starts, stops - starts, twice
 
 
 def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,24 +106,27 @@ def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     No two suffixes of codes may be equal up to the end of the shorter one: separators have codes of their own.
     """
-    n = len(codes)
-    order = np.argsort(codes, kind="stable")
-    sorted_codes = codes[order]
-    first = np.concatenate([[True], sorted_codes[1:] != sorted_codes[:-1]])
+    n, bits = len(codes), int(codes.max()).bit_length() if len(codes) else 1
+    h = max(1, 62 // bits)  # so many letters are told apart by the first sort
+    start = codes.copy()
+    for k in range(1, h):
+        start <<= bits
+        start[: max(0, n - k)] |= codes[k:]
+    order = np.argsort(start)
+    start = start[order]
+    first = np.concatenate([[True], start[1:] != start[:-1]])[:n]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     place = np.arange(n)
-    h = 1
     while True:
-        alone = first & np.append(first[1:], True)
+        alone = first & np.append(first[1:], True)[:n]
         place, order, first = place[~alone], order[~alone], first[~alone]
         if not len(order):
             break
-        follower = rank[np.minimum(order + h, n - 1)]
-        again = np.lexsort((follower, rank[order]))
-        order, follower = order[again], follower[again]
-        group = rank[order]
-        first = np.concatenate([[True], (group[1:] != group[:-1]) | (follower[1:] != follower[:-1])])
+        value = rank[order] * (n + 1) + rank[np.minimum(order + h, n - 1)]
+        again = np.argsort(value)
+        order, value = order[again], value[again]
+        first = np.concatenate([[True], value[1:] != value[:-1]])
         rank[order] = place[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
         h *= 2
     suffixes = np.empty(n, np.int64)
@@ -160,8 +166,8 @@ def common_prefixes(codes: np.ndarray, suffixes: np.ndarray, rank: np.ndarray) -
     return plcp[suffixes]
 
 
-def repeated_windows(contexts: list[bytes], starts: list[int], length: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each context, which of its first starts[i] windows occur twice or more in the shard; and one place (context, start) of each distinct window."""
+def repeated_windows(contexts: list[bytes], starts: list[int], lengths: tuple[int, ...]) -> list[tuple[list[np.ndarray], np.ndarray]]:
+    """For each length: of each context, which of its first starts[i] windows occur twice or more in the shard; and one place (context, start) of each distinct window."""
     sizes = [len(c) for c in contexts]
     codes = np.empty(sum(sizes) + len(contexts), np.int64)
     owner, offset = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
@@ -175,17 +181,22 @@ def repeated_windows(contexts: list[bytes], starts: list[int], length: int) -> t
         offset[at : at + n + 1] = np.arange(n + 1)
         at += n + 1
     suffixes, rank = suffix_array(codes)
-    same = common_prefixes(codes, suffixes, rank) >= length
-    met = same | np.append(same[1:], False)
-    window = offset[suffixes] < np.array(starts)[owner[suffixes]]
-    found = suffixes[met & window]
-    marks = [np.zeros(n, bool) for n in starts]
-    for i, o in zip(owner[found].tolist(), offset[found].tolist(), strict=True):
-        marks[i][o] = True
-    group = np.cumsum(~same)[window]
-    _, first = np.unique(group, return_index=True)
-    one = suffixes[window][first]
-    return marks, np.stack([owner[one], offset[one]], 1)
+    shared, out = common_prefixes(codes, suffixes, rank), []
+    of, at = owner[suffixes], offset[suffixes]
+    own = at < np.array(starts)[of]
+    long_enough = np.array(sizes)[of] - at
+    for length in lengths:
+        same = shared >= length
+        window = own & (long_enough >= length)
+        group = np.cumsum(~same)  # suffixes that share `length` bytes; only windows count, as contexts of one text overlap beyond them
+        found = suffixes[window & (np.bincount(group[window], minlength=len(codes) + 1)[group] > 1)]
+        marks = [np.zeros(n, bool) for n in starts]
+        for i, o in zip(owner[found].tolist(), offset[found].tolist(), strict=True):
+            marks[i][o] = True
+        _, first = np.unique(group[window], return_index=True)
+        one = suffixes[window][first]
+        out.append((marks, np.stack([owner[one], offset[one]], 1)))
+    return out
 
 
 def stretches(marks: np.ndarray) -> Iterable[tuple[int, int]]:
@@ -193,27 +204,29 @@ def stretches(marks: np.ndarray) -> Iterable[tuple[int, int]]:
     return zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)
 
 
-SHARD_SCHEMA = "key long, ctx long, lo long, hi long, digest binary, shard long"
+SHARD_SCHEMA = "key long, ctx long, level int, lo long, hi long, digest binary, shard long"
 
 
-def search_shards(shards: DataFrame, length: int, batch_bytes: int = 1 << 20) -> DataFrame:
-    """Rows (key, ctx, shard, split, starts, context), together by key and shard -> stretches [lo, hi) of repeated starts; for split keys also the digest of one place of each distinct window."""
+def search_shards(shards: DataFrame, lengths: tuple[int, ...], batch_bytes: int = 1 << 20) -> DataFrame:
+    """Rows (key, ctx, shard, split, starts, context), together by key and shard -> for each length (level) the stretches [lo, hi) of repeated starts; for split keys also the digest of one place of each distinct window."""
+    schema = arrow_schema(SHARD_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        size, schema = 0, pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("digest", pa.binary()), ("shard", pa.int64())])
+        size = 0
 
         def solve(rows: list[dict]) -> pa.RecordBatch:
             out = []
-            marks, places = repeated_windows([r["context"] for r in rows], [r["starts"] for r in rows], length)
-            for r, m in zip(rows, marks, strict=True):
-                out += [(r["key"], r["ctx"], a, b, None, r["shard"]) for a, b in stretches(m)]
-            for i, o in places.tolist():
-                r = rows[i]
-                if r["split"]:
-                    d = hashlib.blake2b(r["context"][o : o + length], digest_size=16).digest()
-                    out.append((r["key"], r["ctx"], o, o + 1, d, r["shard"]))
-            return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 6, schema, strict=True)], schema=schema)
+            found = repeated_windows([r["context"] for r in rows], [r["starts"] for r in rows], lengths)
+            for level, (marks, places) in enumerate(found):
+                for r, m in zip(rows, marks, strict=True):
+                    out += [(r["key"], r["ctx"], level, a, b, None, r["shard"]) for a, b in stretches(m)]
+                for i, o in places.tolist():
+                    r = rows[i]
+                    if r["split"]:
+                        d = hashlib.blake2b(r["context"][o : o + lengths[level]], digest_size=16).digest()
+                        out.append((r["key"], r["ctx"], level, o, o + 1, d, r["shard"]))
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -230,7 +243,8 @@ def search_shards(shards: DataFrame, length: int, batch_bytes: int = 1 << 20) ->
 
 
 def merge_shards(found: DataFrame) -> DataFrame:
-    """Windows of split keys that occur in several shards: key, ctx, lo, hi."""
+    """Windows of split keys that occur in several shards: key, ctx, level, lo, hi."""
+    names = ["key", "ctx", "level", "lo", "hi"]
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         every = np.sort(np.array([bytes(d) for d in rows["digest"]], "S16"))
@@ -238,75 +252,98 @@ def merge_shards(found: DataFrame) -> DataFrame:
         for _, own in rows.groupby("shard"):
             d = np.array([bytes(x) for x in own["digest"]], "S16")
             keep.append(own[np.searchsorted(every, d, "right") - np.searchsorted(every, d, "left") > 1])
-        return pd.concat(keep)[["key", "ctx", "lo", "hi"]] if keep else rows[["key", "ctx", "lo", "hi"]]
+        return pd.concat(keep)[names] if keep else rows[names]
 
     part = F.pmod(F.xxhash64("key", "digest"), F.lit(1024)).alias("part")
-    return found.where("digest is not null").groupBy("key", part).applyInPandas(merge, "key long, ctx long, lo long, hi long")
+    return found.where("digest is not null").groupBy("key", "level", part).applyInPandas(merge, "key long, ctx long, level int, lo long, hi long")
 
 
-def spans(docs: DataFrame, length: int = 400, most: int = 2048) -> DataFrame:
-    """(doc_id, text_hash, lo, hi): stretches of bytes covered by a window that also starts anywhere else, for rows of docs by id and xxhash64 of the text.
+RUN_SCHEMA = "key long, ctx long, doc_id long, text_hash long, start int, n int, size int, twice boolean"
 
-    Stretches of one row may meet or overlap.
-    """
 
-    def make():
-        def f(ids: list, hashes: list, texts: list) -> Iterable[tuple]:
-            for i, t, text in zip(ids, hashes, texts, strict=True):
-                for key, ctx, s, n, twice in runs((text or "").encode("utf-8", "surrogatepass"), length):
-                    yield key, ctx, i, t, s, n, twice
-
-        return f
+def file_runs(texts: DataFrame, near: int, far: int) -> DataFrame:
+    """A row for each run of each text (doc_id, text_hash, text)."""
+    schema = arrow_schema(RUN_SCHEMA)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            rows = 0
+            for i in range(batch.num_rows):
+                found = runs(batch["text"][i].as_py().encode("utf-8", "surrogatepass"), near, far)
+                if found:
+                    key, ctx, start, n, size, twice = found
+                    none = batch["doc_id"][i].as_py() is None
+                    held.append((key, ctx, np.full(len(key), 0 if none else batch["doc_id"][i].as_py()), np.full(len(key), batch["text_hash"][i].as_py()), start, n, size, twice, np.full(len(key), none)))
+                    rows += len(key)
+                if held and (rows > 50_000 or i + 1 == batch.num_rows):
+                    *cols, none = (np.concatenate(c) for c in zip(*held, strict=True))
+                    yield pa.record_batch([pa.array(c, f.type, mask=none if f.name == "doc_id" else None) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                    held, rows = [], 0
+
+    return texts.select("doc_id", "text_hash", "text").mapInArrow(run, RUN_SCHEMA)
+
+
+def spans(docs: DataFrame, lengths: tuple[int, ...] = (400,), most: int = 2048) -> DataFrame:
+    """(doc_id, text_hash, spans): for rows of docs by id and xxhash64 of the text, the set of (level, lo, hi): stretches of bytes covered by a window that also starts anywhere else. Level k is for windows of lengths[k] bytes, one or two lengths, rising.
+
+    Stretches of one row may meet or overlap. Rows in which nothing repeats are left out.
+    """
+    near, far = lengths[0], lengths[-1]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    long_enough = own.where(F.octet_length("text") >= length)
-    filed = Stored(map_rows(long_enough, make, "key long, ctx long, doc_id long, text_hash long, start int, n int, twice boolean"))
-    rows = filed.read()
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.max("twice").alias("any")).where((F.col("times") > 1) | F.col("any"))
-    rows = cut(rows.join(shared.select("key"), "key"))
-    contexts = cut(rows.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice"), F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("place")))
+    long_enough = own.where(F.octet_length("text") >= near)
+    filed = Stored(file_runs(long_enough, near, far))
+    count = F.count(F.lit(1)).alias("n")
+    shared = cut(filed.read().groupBy("key").agg(count, F.max("twice").alias("any")).where((F.col("n") > 1) | F.col("any")).select("key", "n"))
+    rows = Stored(join_spread(filed.read().drop("twice").withColumnRenamed("n", "starts"), shared.select("key"), ["key"], shared, ["doc_id", "text_hash", "start"]))
+    place = F.min(F.struct("doc_id", "text_hash", "start", "starts", "size")).alias("place")
+    contexts = cut(rows.read().groupBy("key", "ctx").agg(count, place))
     filed.drop()
-    whole = contexts.where("times > 1").select("key", "ctx", F.lit(0).cast("long").alias("lo"), F.col("place.n").cast("long").alias("hi"))
-    kinds = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("rarest"), F.max("twice").alias("any"))
-    unsure = kinds.where("rarest = 1 and (kinds > 1 or any)").withColumn("shards", F.ceil(F.col("kinds") / most).cast("int"))
-    asked = contexts.join(unsure, "key").select(
-        "key", "ctx", F.pmod("ctx", "shards").cast("long").alias("shard"), (F.col("shards") > 1).alias("split"), F.col("place.doc_id").alias("doc_id"), F.col("place.text_hash").alias("text_hash"), F.col("place.start").alias("start"), F.col("place.n").alias("n")
-    )
-    shards = with_contexts(asked, long_enough, length).repartition("key", "shard").sortWithinPartitions("key", "shard")
-    found = cut(search_shards(shards, length))
-    repeated = whole.unionByName(found.where("digest is null").select("key", "ctx", "lo", "hi")).unionByName(merge_shards(found))
-    place = rows.join(repeated, ["key", "ctx"])
-    return place.select("doc_id", "text_hash", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + length).alias("hi")).distinct()
+    forget(shared)
+    # what is equal as a whole: the windows of each length that the context holds
+    fits = [F.least(F.col("place.starts"), F.col("place.size") - (length - 1)).cast("long") for length in lengths]
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(0).cast("long").alias("lo"), x.alias("hi")) for k, x in enumerate(fits))))
+    whole = contexts.where("n > 1").select("key", "ctx", levels.alias("w")).select("key", "ctx", "w.*").where("hi > 0")
+    kinds = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("rarest"))
+    # a key with one context of one run is here because it occurs twice within that run
+    unsure = cut(kinds.where("rarest = 1").select("key", F.col("kinds").alias("n"), F.ceil(F.col("kinds") / most).cast("int").alias("shards")))
+    asked = join_spread(contexts.select("key", "ctx", "place.*"), unsure.select("key", "shards"), ["key"], unsure, ["ctx"])
+    asked = asked.withColumns({"shard": F.pmod("ctx", "shards").cast("long"), "split": F.col("shards") > 1})
+    shards = with_contexts(asked, long_enough, far).repartition("key", "shard").sortWithinPartitions("key", "shard")
+    found = cut(search_shards(shards, lengths))
+    forget(unsure)
+    repeated = whole.unionByName(found.where("digest is null").select("key", "ctx", "level", "lo", "hi")).unionByName(merge_shards(found))
+    met = join_spread(rows.read().drop("starts", "size"), repeated, ["key", "ctx"], contexts.select("key", "ctx", "n"), ["doc_id", "text_hash", "start"])
+    widths = F.element_at(F.array(*(F.lit(x) for x in lengths)), F.col("level") + 1)
+    met = met.select("doc_id", "text_hash", F.struct("level", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + widths).alias("hi")).alias("span"))
+    out = cut(met.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans")))
+    forget(contexts, found)
+    rows.drop()
+    return out
 
 
 def same_text(ids: Column, hashes: Column, other_ids: Column, other_hashes: Column) -> Column:
     return ids.eqNullSafe(other_ids) & (hashes == other_hashes)
 
 
-def with_contexts(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+def with_contexts(asked: DataFrame, texts: DataFrame, far: int) -> DataFrame:
     """asked rows with the bytes of their contexts; a text's rows travel to it together."""
-    wanted = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "ctx", "shard", "split", "start", "n")).alias("asked"))
+    wanted = asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "ctx", "shard", "split", "start", "starts", "size")).alias("asked"))
     met = wanted.alias("w").join(texts.alias("t"), same_text(F.col("w.doc_id"), F.col("w.text_hash"), F.col("t.doc_id"), F.col("t.text_hash")))
+    kinds = {"key": pa.int64(), "ctx": pa.int64(), "shard": pa.int64(), "split": pa.bool_(), "starts": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                text = batch["text"][k].as_py().encode("utf-8", "surrogatepass")
-                rows = batch["asked"][k].as_py()
-                cols = {c: [r[c] for r in rows] for c in ("key", "ctx", "shard", "split")}
-                yield pa.record_batch(
-                    [
-                        pa.array(cols["key"], pa.int64()), pa.array(cols["ctx"], pa.int64()), pa.array(cols["shard"], pa.int64()), pa.array(cols["split"], pa.bool_()),
-                        pa.array([r["n"] for r in rows], pa.int64()), pa.array([text[r["start"] : r["start"] + r["n"] - 1 + length] for r in rows], pa.binary()),
-                    ],
-                    names=["key", "ctx", "shard", "split", "starts", "context"],
-                )
+                text, rows = batch["text"][k].as_py().encode("utf-8", "surrogatepass"), batch["asked"][k].as_py()
+                cols = [pa.array([r[c] for r in rows], t) for c, t in kinds.items()]
+                yield pa.record_batch([*cols, pa.array([text[r["start"] : r["start"] + r["size"]] for r in rows], pa.binary())], names=[*kinds, "context"])
 
     out = met.select("asked", "text").mapInArrow(run, "key long, ctx long, shard long, split boolean, starts long, context binary")
     return out.dropDuplicates(["key", "ctx"])  # repeated rows bring the same context twice
 
 
-def merged(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(cuts: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for lo, hi in sorted(cuts):
         if out and lo <= out[-1][1]:
@@ -316,50 +353,67 @@ def merged(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def whole_words(data: bytes, lo: int, hi: int) -> int:
+    """Words between white space that lie wholly in data[lo:hi]."""
+    inside = data[lo:hi]
+    n = len(inside.split())
+    if n and lo and not data[lo - 1 : lo].isspace() and not inside[:1].isspace():
+        n -= 1
+    if n and hi < len(data) and not data[hi : hi + 1].isspace() and not inside[-1:].isspace():
+        n -= 1
+    return n
+
+
 def kept_bytes(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
     edges = [0, *(x for c in cuts for x in c), len(data)]
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with __cuts, a list of (lo, hi), null where nothing repeats."""
-    listed = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("__cuts"))
-    listed = listed.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__cuts")
+    """docs with __cuts, a list of (level, lo, hi), null where nothing repeats."""
+    listed = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__cuts"))
     own = docs.withColumn("__own", F.xxhash64("text"))
     return own.join(listed, same_text(own["doc_id"].cast("long"), own["__own"], listed["__id"], listed["__hash"]), "left").drop("__own", "__id", "__hash")
 
 
-def report(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+def report(docs: DataFrame, length: int = 400, passage: int = 200, words: int = 50) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row by strings of `length` bytes; n_passages and passage_bytes by passages.
+
+    A passage is a stretch covered by strings of `passage` bytes (less than `length`) that also start anywhere else, of over `words` whole words.
+    """
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def make():
         def f(ids: list, texts: list, cuts: list) -> Iterable[tuple]:
             for i, t, c in zip(ids, texts, cuts, strict=True):
-                data, found = t.encode("utf-8", "surrogatepass"), merged([(x["lo"], x["hi"]) for x in c or ()])
-                yield i, len(data), sum(b - a for a, b in found), len(found), hashlib.sha256(kept_bytes(data, found)).hexdigest()
+                data = t.encode("utf-8", "surrogatepass")
+                near, found = (merged((x["lo"], x["hi"]) for x in c or () if x["level"] == k) for k in (0, 1))
+                near = [(a, b) for a, b in near if not words or whole_words(data, a, b) > words]
+                sizes = [sum(b - a for a, b in x) for x in (found, near)]
+                yield i, len(data), sizes[0], len(found), hashlib.sha256(kept_bytes(data, found)).hexdigest(), len(near), sizes[1]
 
         return f
 
-    return map_rows(with_spans(small, spans(small, length)), make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long"
+    return map_rows(with_spans(small, spans(small, (passage, length))), make, schema)
 
 
-def remove_repeated(docs: DataFrame, length: int = 400) -> DataFrame:
-    """docs, all columns, without the repeated bytes; n_chars follows where there is one.
+def remove_repeated(docs: DataFrame, length: int = 400, words: int = 0) -> DataFrame:
+    """docs, all columns, without the stretches covered by strings of `length` bytes that also start anywhere else, where they hold over `words` whole words (0: all of them); n_chars follows where there is one.
 
     Characters that lose some of their bytes go; texts in which nothing repeats stay as they are, null included.
     """
 
+    def left(t: str, cuts: Iterable) -> str:
+        data = t.encode("utf-8", "surrogatepass")
+        found = [(a, b) for a, b in merged((x["lo"], x["hi"]) for x in cuts) if not words or whole_words(data, a, b) > words]
+        return kept_bytes(data, found).decode("utf-8", "ignore") if found else t
+
     @F.pandas_udf("string")
     def kept(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-        def one(t: str | None, c: object) -> str | None:
-            if t is None or c is None:
-                return t
-            return kept_bytes(t.encode("utf-8", "surrogatepass"), merged([(x["lo"], x["hi"]) for x in c])).decode("utf-8", "ignore")
-
-        return pd.Series([one(t, c) for t, c in zip(texts, cuts, strict=True)], dtype=object)
+        return pd.Series([t if t is None or c is None else left(t, c) for t, c in zip(texts, cuts, strict=True)], dtype=object)
 
-    out = with_spans(docs, spans(docs, length))
+    out = with_spans(docs, spans(docs, (length,)))
     changed = F.col("__cuts").isNotNull()
     out = out.withColumn("text", F.when(changed, kept(F.col("text"), F.col("__cuts"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

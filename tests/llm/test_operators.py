@@ -176,15 +176,45 @@ def brute_repeats(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("length,most", [(3, 2048), (8, 2), (20, 2)])
-def test_suffix_equals_brute_force(spark, monkeypatch, length, most):
+@pytest.mark.parametrize("near,length,most", [(3, 8, 2048), (3, 8, 2), (8, 20, 2), (20, 21, 2)])
+def test_suffix_equals_brute_force(spark, monkeypatch, near, length, most):
     r = random.Random(3)
     texts = ["ab" * 100, "abc" * 30, "", None, "x", "q" * 57, "abcabd" * 9 + "zz", "ab" * 100] + ["".join(r.choice("ab") for _ in range(60)) for _ in range(8)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "zzzzzzzzyyyyyyabab"), (3, "ababababababa")]
     spans = suffix.spans
     monkeypatch.setattr(suffix, "spans", lambda d, n: spans(d, n, most))
-    got = suffix.report(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix.report(docs, length, near, 0).collect()
     assert sorted(((g.doc_id, g.n_removed, g.kept_sha256) for g in got), key=str) == brute_repeats(rows, length)
+    assert sorted(((g.doc_id, g.passage_bytes) for g in got), key=str) == [x[:2] for x in brute_repeats(rows, near)]
+    left = suffix.remove_repeated(docs, near).collect()
+    assert sorted(((g.doc_id, hashlib.sha256((g.text or "").encode()).hexdigest()) for g in left), key=str) == sorted(((i, h) for i, _, h in brute_repeats(rows, near)), key=str)
+
+
+def test_passages_hold_over_so_many_whole_words(spark):
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(n))
+    shared, less = words(51), words(50)
+    texts = [f"{words(90)} {shared} {words(80)}", f"{words(70)} {shared}", f"{words(60)} {less} {words(60)}", f"{words(9)} {less} {words(20)}", words(300), f"x{shared}y {words(30)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {g.doc_id: g.n_passages for g in suffix.report(docs).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0}
+    left = {x.doc_id: x.text for x in suffix.remove_repeated(docs, 200, 50).collect()}
+    assert [i for i, t in enumerate(texts) if left[i] != t] == [0, 1] and not any(shared[3:-3] in left[i] for i in (0, 1))
+    assert suffix.whole_words(b"ab cd ef", 1, 7) == 1 and suffix.whole_words(b"ab cd ef", 3, 8) == 2 and suffix.whole_words(b"abc", 1, 2) == 0
+
+
+def test_suffix_deals_out_common_keys(spark, monkeypatch):
+    """Thousands of copies, and a passage that hundreds of texts share, with keys dealt out from two rows on."""
+    r = random.Random(5)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(n))
+    copy, shared = words(40), words(12)
+    rows = [(i, copy) for i in range(600)] + [(1000 + i, f"{words(3)} {shared} {words(3)}") for i in range(300)] + [(None, copy), (5, copy)]
+    join = suffix.join_spread
+    monkeypatch.setattr(suffix, "join_spread", lambda *a: join(*a, least=2))
+    got = suffix.report(spark.createDataFrame(rows, "doc_id long, text string"), 60, 20, 0).collect()
+    assert sorted(((g.doc_id, g.n_removed, g.kept_sha256) for g in got), key=str) == brute_repeats(rows, 60)
+    assert sorted(((g.doc_id, g.passage_bytes) for g in got), key=str) == [x[:2] for x in brute_repeats(rows, 20)]
 
 
 def test_remove_repeated_keeps_columns(odd, empty):
