@@ -1,12 +1,15 @@
 """Main text of web pages.
 
 The standard library's streaming parser turns a page into lines (one for each block) with the number of tags
-met in each. The text-to-tag ratio of the lines is smoothed with a Gaussian and split into two clusters; lines
-of the upper one mark the content regions. A region reaches over the article or main element that it stands
-in; without one, over the smallest box (body, division or section) that holds all marked lines. Page furniture (menus, headers, footers, side
-bars, notices, adverts, forms, scripts, styles, reader comments) never counts.
-
-Defined results: null or empty html gives empty text; markup that the parser rejects is read as text.
+met in each. The text-to-tag ratio of the lines is smoothed with a Gaussian and split into two clusters. Boxes (the page,
+body, divisions, sections, articles) are weighed by the characters of their lines, those of the upper cluster for and
+those of the lower one against; the heaviest box is the content region. Elements only settle close calls: articles of
+positive weight that together have over half of the heaviest box's weight are taken instead of it, and an article goes
+before another box of the same weight. Page furniture (menus, headers, footers, side bars, notices, adverts, forms,
+scripts, styles, reader comments) counts against a box and is left out of the region.
+
+Defined results: null or empty html gives empty text; markup that the parser rejects is read as text; of a header in an
+article the headings stay (the title), the rest (names, dates) goes. Equal pages give equal texts.
 """
 
 from __future__ import annotations
@@ -28,14 +31,17 @@ BOXES = set("article aside body blockquote details dialog div dl fieldset figure
 FURNITURE = set("aside dialog footer form header menu nav".split())
 SILENT = set("audio button canvas datalist iframe map math noscript object script select style svg template textarea title video".split())
 #: Boxes that can be a region; lists, tables, quotes and the like are parts of one.
-REGIONS = set("body div html section".split())
+REGIONS = set("article body div html main section".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: How far a box hides its lines: not at all, all but headings (a header in an article), all.
+SHOWN, TITLED, HIDDEN = 0, 1, 2
 MARKS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies discussion disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
 WORDS = re.compile(r"[A-Za-z]+")
 SPACE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """rows: (text, tags, article it stands in or -1, furniture, innermost box or -1); boxes: (tag, box around it or -1, depth).
+    """rows: (text, tags, furniture, innermost box or -1); boxes: (tag, box around it or -1, furniture), in the order of their start tags.
 
     The end tags of head and option may be left out, so neither silences by itself: what head may hold is silent of its
     own, and options stand in a select or datalist.
@@ -43,21 +49,23 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[str, int, int, bool, int]] = []
-        self.open: list[tuple[str, bool, int, int]] = []
-        self.boxes: list[tuple[str, int, int]] = []
+        self.rows: list[tuple[str, int, bool, int]] = []
+        self.open: list[tuple[str, int, bool, int]] = []
+        self.boxes: list[tuple[str, int, bool]] = []
         self.parts: list[str] = []
-        self.tags = self.silent = self.articles = 0
+        self.tags = self.silent = 0
+        self.heading = False
 
-    def _state(self) -> tuple[bool, int, int]:
-        return self.open[-1][1:] if self.open else (False, -1, -1)
+    def _state(self) -> tuple[int, bool, int]:
+        """How far lines are hidden here, whether in an article, innermost box."""
+        return self.open[-1][1:] if self.open else (SHOWN, False, -1)
 
     def line(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                hidden, article, box = self._state()
-                self.rows.append((text, self.tags, article, hidden, box))
+                hides, _, box = self._state()
+                self.rows.append((text, self.tags, hides == HIDDEN or (hides == TITLED and not self.heading), box))
             self.parts = []
         self.tags = 0
 
@@ -69,19 +77,22 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self.line()
+            self.heading = tag in HEADINGS
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
         if tag in BOXES:
-            hidden, article, box = self._state()
+            hides, article, box = self._state()
             said = dict(attrs)
             names = {x.lower() for k in ("class", "id", "role") for x in WORDS.findall(said.get(k) or "")}
-            marked = tag in FURNITURE or (bool(names & MARKS) and tag not in ("body", "html"))
-            if tag in ("article", "main") and not marked and article < 0 and not any("comment" in x for x in names):
-                article, hidden = self.articles, hidden and any(t in FURNITURE for t, *_ in self.open)
-                self.articles += 1
-            self.boxes.append((tag, box, len(self.open)))
-            self.open.append((tag, hidden or marked or "hidden" in said, article, len(self.boxes) - 1))
+            marks = names & MARKS if tag not in ("body", "html") else set()
+            if "hidden" in said or (tag in FURNITURE and tag != "header") or marks - {"header"}:
+                hides = HIDDEN
+            elif tag == "header" or marks:
+                hides = max(hides, TITLED if article else HIDDEN)
+            article = article or (tag in ("article", "main") and hides == SHOWN and not any("comment" in x for x in names))
+            self.boxes.append((tag if article or tag not in ("article", "main") else "div", box, hides != SHOWN))
+            self.open.append((tag, hides, article, len(self.boxes) - 1))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag not in SILENT:
@@ -97,6 +108,7 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self.line()
+            self.heading = False
         self.tags += 1
         if tag in BOXES:
             at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
@@ -121,30 +133,6 @@ def lines(html: str) -> Lines:
     return parser
 
 
-def region(boxes: list[tuple[str, int, int]], some: Iterable[int]) -> int:
-    """The smallest region that holds all of some boxes; -1 is the page."""
-    depth = lambda b: boxes[b][2] if b >= 0 else -1
-    a, *others = set(some)
-    for b in others:
-        while a != b:
-            if depth(a) >= depth(b):
-                a = boxes[a][1]
-            else:
-                b = boxes[b][1]
-    while a >= 0 and boxes[a][0] not in REGIONS:
-        a = boxes[a][1]
-    return a
-
-
-def within(boxes: list[tuple[str, int, int]], outer: int) -> set[int]:
-    """outer and all boxes in it."""
-    found = {outer}
-    for b, (_, around, _) in enumerate(boxes):
-        if around in found:
-            found.add(b)
-    return found
-
-
 def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
     """A Gaussian mean; weights outside the page are left out."""
     reach = max(1, math.ceil(2 * sigma))
@@ -165,20 +153,45 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
     return np.ones(len(values), bool)
 
 
+def weights(boxes: list[tuple[str, int, bool]], rows: list[tuple[str, int, bool, int]], chosen: np.ndarray) -> list[int]:
+    """Characters of each box's lines, with those in the boxes inside it: chosen ones for it, the others against it. The last one is the page."""
+    own = [0] * (len(boxes) + 1)
+    for (text, _, furniture, box), c in zip(rows, chosen, strict=True):
+        own[box] += len(text) if c and not furniture else -len(text)
+    for b in range(len(boxes) - 1, -1, -1):  # inner boxes start after those around them
+        own[boxes[b][1]] += own[b]
+    return own
+
+
+def regions(boxes: list[tuple[str, int, bool]], weight: list[int]) -> set[int]:
+    """The boxes of the content; -1 is the page."""
+    able = [b for b, (tag, _, furniture) in enumerate(boxes) if tag in REGIONS and not furniture]
+    best = max([-1, *able], key=lambda b: (weight[b], b >= 0 and boxes[b][0] in ("article", "main"), b))
+    articles: list[int] = []
+    for b in able:  # outermost ones
+        if boxes[b][0] in ("article", "main") and weight[b] > 0 and not inside(boxes, b, articles):
+            articles.append(b)
+    return set(articles) if articles and 2 * sum(weight[b] for b in articles) > weight[best] else {best}
+
+
+def inside(boxes: list[tuple[str, int, bool]], box: int, outer: Iterable[int]) -> bool:
+    """Whether a box is one of some or stands in one."""
+    while box not in outer:
+        if box < 0:
+            return False
+        box = boxes[box][1]
+    return True
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     page = lines(html or "")
-    rows = [r for r in page.rows if not r[3]]
-    if not rows:
+    if all(furniture for *_, furniture, _ in page.rows):
         return ""
-    ratio = np.array([len(t) / max(1, tags) for t, tags, *_ in rows])
+    ratio = np.array([len(t) / max(1, tags) for t, tags, *_ in page.rows])
     chosen = upper_cluster(smoothed(ratio, sigma))
-    held = {a for (_, _, a, *_), c in zip(rows, chosen, strict=True) if c and a >= 0}
-    if not held and (named := {a for _, _, a, *_ in rows if a >= 0}):
-        held = named
-    if held:
-        return "\n".join(t for t, _, a, *_ in rows if a in held)
-    kept = within(page.boxes, region(page.boxes, (r[4] for r, c in zip(rows, chosen, strict=True) if c)))
-    return "\n".join(r[0] for r in rows if r[4] in kept)
+    kept = regions(page.boxes, weights(page.boxes, page.rows, chosen))
+    held = {b: inside(page.boxes, b, kept) for b in {r[3] for r in page.rows}}
+    return "\n".join(text for text, _, furniture, box in page.rows if held[box] and not furniture)
 
 
 def extract_text(pages: DataFrame, sigma: float = 1.0) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -73,6 +75,43 @@ def test_html_keeps_short_lines_without_article(part):
     assert html.main_text(quote) == f"said\n{long.strip()}\nend"
 
 
+def test_html_clusters_choose_the_region():
+    long = "many words that make up a long paragraph of text " * 6
+    links = "".join(f"<li><a href=/{k}><b>go</b> <i>{k}</i></a>" for k in range(30))
+    teasers = f"<article><ul>{links}</ul></article>"
+    # an article of links loses to a division of text, and one of text is taken beside it
+    assert html.main_text(f"<body>{teasers}<div><p>{long}<p>{long}</div>") == f"{long.strip()}\n{long.strip()}"
+    assert html.main_text(f"<body>{teasers}<article><p>{long}</article>") == long.strip()
+    # without any element or class that says so, the text goes before the menu
+    assert html.main_text(f"<body><div><ul>{links}</ul></div><div><p>{long}<p>{long}</div>") == f"{long.strip()}\n{long.strip()}"
+    # two articles of text; long text that stands outside, but isn't most of the page, settles nothing
+    assert html.main_text(f"<body><p>{long}<article><p>a{long}</article><article><p>b{long}</article>") == f"a{long.strip()}\nb{long.strip()}"
+    # text of several divisions without an article
+    assert html.main_text(f"<body><nav><ul>{links}</ul></nav><div><p>a{long}</div><div><p>b{long}</div>") == f"a{long.strip()}\nb{long.strip()}"
+
+
+def test_html_headers_and_equal_pages(spark):
+    page = "<body><header><h2>Site</h2></header><article><header class=post-header><h1>Title</h1><p>by someone</header><p>Text of it.</article>"
+    assert html.main_text(page) == "Title\nText of it."
+    rows = spark.createDataFrame([(1, "u", page, 5), (1, "u", page, 5), (2, None, None, 5)], "page_id long, url string, html string, text int")
+    got = [tuple(x) for x in html.extract_text(rows).collect()]
+    assert sorted(got, key=str) == [(1, "u", "Title\nText of it.", 17), (1, "u", "Title\nText of it.", 17), (2, None, "", 0)]
+    assert html.extract_text(rows.where("false")).count() == 0
+    assert len(html.main_text("<article>" + "<p>x y" * 200_000)) == 4 * 200_000 - 1
+
+
+def test_html_pages_equal_brute_force(spark):
+    """The given pages are all made alike: whatever their one article holds, read with regular expressions."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {(r.page_id, r.text) for r in html.extract_text(pages).collect()}
+    want = set()
+    for r in pages.collect():
+        inside = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        blocks = (re.sub(r"<[^>]*>", "", b) for b in re.split(r"</?(?:h1|p|ul|li|div)>", re.sub(r"<br>", " ", inside)))
+        want.add((r.page_id, "\n".join(t for b in blocks if (t := re.sub(r"\s+", " ", unescape(b)).strip()))))
+    assert got == want and len(got) > 100
+
+
 def test_licenses(odd, empty):
     rows = {(r.doc_id, r.n_words): r for r in licenses.scan_licenses(odd).collect()}
     r = rows[(5, 12)] if (5, 12) in rows else next(v for k, v in rows.items() if k[0] == 5)
