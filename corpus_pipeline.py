@@ -25,8 +25,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of long strings that also stand elsewhere."""
-    return suffix.remove_repeated(docs)
+    """Texts without passages of over 50 words that also stand elsewhere: stretches covered by strings of 200 bytes that start anywhere else."""
+    return suffix.remove_repeated(docs, 200, 50)
 
 
 def balanced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
