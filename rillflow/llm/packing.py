@@ -4,8 +4,9 @@ Documents are cut into pieces of at most `size` tokens (the first takes what ful
 histogram of piece lengths, at most `size` rows, decides everything else: patterns of up to three lengths that
 fill a sequence are enumerated, non-negative least squares fits how often to use each so that the histogram is
 met, counts are rounded, and what is left over goes best-fit into sequences, longest first, worked out on
-counts rather than on documents. Pieces then find their place by length and rank within the length. Ranks come
-from counts by (length, salt), so one frequent length never has to meet in one task.
+counts rather than on documents. Full pieces are sequences of their own; the others find their place by length and rank
+within the length. A length's pieces are ranked in groups of about `group` rows, as many as its count asks for, and
+counts by group give each its offset, so no length, however frequent, has to meet in one task.
 
 Defined results: a null or empty text is one piece of one token (the end mark). Repeated rows are packed each
 on its own.
@@ -30,6 +31,7 @@ END = 2
 #: Fixed value: the byte-level vocabulary's pre-tokens, but for white space.
 CUT = r"'(?:s|t|re|ve|m|ll|d)| ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)"
 DOUBLED = re.compile(r"\s\s")
+LONG = re.compile(r"\s{1000}")
 
 
 def byte_characters() -> dict[str, int]:
@@ -42,7 +44,8 @@ def byte_characters() -> dict[str, int]:
 class Encoder:
     """Token ids of texts by a byte-level tokenizer's file, as little-endian unsigned 32-bit bytes.
 
-    `tokenizers` reads the file and encodes texts that hold a special token's string. For the rest its vocabulary is
+    `tokenizers` reads the file and encodes texts that hold a special token's string, and those with very long runs of
+    white space, on which the other one's look-ahead fails. For the rest its vocabulary is
     handed to `tiktoken`, which merges by the same ranks several times faster (tests hold both to the same ids).
     The pre-token pattern's look-ahead only matters where white space follows white space; texts without that are
     cut by the pattern without it, which is twice as fast.
@@ -62,10 +65,11 @@ class Encoder:
         self.whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        doubled = DOUBLED.search(text)
+        if any(s in text for s in self.special) or (doubled and LONG.search(text)):
             ids = self.whole(text)
         else:
-            ids = (self.full if DOUBLED.search(text) else self.quick)(text)
+            ids = (self.full if doubled else self.quick)(text)
         return array("I", ids).tobytes()
 
 
@@ -208,45 +212,68 @@ def plan(histogram: dict[int, int], size: int = 1024) -> list[tuple[tuple[int, .
     return sorted(made.items(), reverse=True)
 
 
-def slots(made: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, ranks, first sequence, offset): where the pieces of a length go, by rank. As many rows as plan() has lengths."""
+def slots(made: list[tuple[tuple[int, ...], int]]) -> dict[int, list[tuple[int, int, int]]]:
+    """length -> (first rank, first sequence, offset), by first rank: where the pieces of a length go. As many entries as plan() has lengths."""
     rank: dict[int, int] = defaultdict(int)
-    out, sequence = [], 0
+    out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    sequence = 0
     for shape, count in made:
         offset = 0
         for n in shape:
-            out.append((n, rank[n], count, sequence, offset))
+            out[n].append((rank[n], sequence, offset))
             rank[n] += count
             offset += n
         sequence += count
     return out
 
 
-def pack(pieces: DataFrame, size: int = 1024, salts: int = 64) -> DataFrame:
-    """pieces with sequence_id and offset. pieces is read several times: hand in stored rows."""
+def blocks(found: list[tuple[int, int, int]], total: int) -> tuple[int, list[tuple[int, list[tuple[int, int, int]]]]]:
+    """Ranks to a block, and of each block of ranks the slots that reach into it. There are as many blocks as slots."""
+    width = -(-total // len(found))
+    ends = [x[0] for x in found[1:]] + [total]
+    out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for slot, end in zip(found, ends, strict=True):
+        for b in range(slot[0] // width, (end - 1) // width + 1):
+            out[b].append(slot)
+    return width, list(out.items())
+
+
+def pack(pieces: DataFrame, size: int = 1024, group: int = 1 << 16, groups: int = 1 << 17) -> DataFrame:
+    """pieces with sequence_id and offset. pieces is read several times and its rows are numbered as they stand: hand in stored rows.
+
+    At most groups + size groups are made, larger ones beyond, so what is broadcast (their offsets, and the slots, which
+    depend on size) doesn't grow with the pieces.
+    """
     spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
-    salted = pieces.withColumn("__salt", salt)
-    counts = cut(salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n")))  # at most size * salts rows
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    before = W.partitionBy("length").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("length", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    rows = slots(plan(histogram, size))
-    by_length: dict[int, list] = defaultdict(list)
-    for n, *rest in rows:
-        by_length[n].append(rest)
-    table = spark.createDataFrame(
-        [(n, [x[0] for x in v], [x[2] for x in v], [x[3] for x in v]) for n, v in by_length.items()], "length long, __first array<long>, __sequence array<long>, __offset array<long>"
-    )
-    own = W.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("__rank", F.row_number().over(own) - 1).join(F.broadcast(offsets), ["length", "__salt"])
-    placed = ranked.withColumn("__rank", F.col("__rank") + F.col("__before")).join(F.broadcast(table), "length")
+    names = list(pieces.columns)
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most size rows
+    full = histogram.pop(size, 0)
+    made = plan(histogram, size)
+    sequences = sum(c for _, c in made)
+    whole = pieces.where(F.col("length") == size).select(*names, (F.lit(sequences) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if not histogram:
+        return whole
+    group = max(group, -(-sum(histogram.values()) // groups))
+    widths, table = [], []
+    for n, found in slots(made).items():
+        width, listed = blocks(found, histogram[n])
+        widths.append((n, -(-histogram[n] // group), width))
+        table += [(n, b, x) for b, x in listed]
+    known = spark.createDataFrame(widths, "length long, __groups long, __width long")
+    places = spark.createDataFrame(table, "length long, __block long, __slots array<struct<first: long, sequence: long, offset: long>>")
+    rows = pieces.where(F.col("length") < size).withColumn("__id", F.monotonically_increasing_id()).join(F.broadcast(known), "length").withColumn("__group", F.pmod(F.xxhash64("__id"), "__groups"))
+    counts = cut(rows.groupBy("length", "__group").agg(F.count(F.lit(1)).alias("n")))
+    before = W.partitionBy("length").orderBy("__group").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("length", "__group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    own = W.partitionBy("length", "__group").orderBy("__id")
+    ranked = rows.withColumn("__rank", F.row_number().over(own) - 1).join(F.broadcast(offsets), ["length", "__group"])
+    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before")).withColumn("__block", F.floor(F.col("__rank") / F.col("__width")))
+    placed = ranked.join(F.broadcast(places), ["length", "__block"])
     # the last slot whose first rank is not above this one's
-    at = F.size(F.filter("__first", lambda x: x <= F.col("__rank")))
-    placed = placed.withColumn("__at", at)
-    sequence = F.element_at("__sequence", F.col("__at")) + F.col("__rank") - F.element_at("__first", F.col("__at"))
-    names = [c for c in pieces.columns]
-    return placed.withColumns({"sequence_id": sequence, "offset": F.element_at("__offset", F.col("__at"))}).select(*names, "sequence_id", "offset")
+    slot = F.element_at(F.filter("__slots", lambda x: x["first"] <= F.col("__rank")), -1)
+    placed = placed.withColumn("__slot", slot).withColumns({"sequence_id": F.col("__slot.sequence") + F.col("__rank") - F.col("__slot.first"), "offset": F.col("__slot.offset")})
+    out = placed.select(*names, "sequence_id", "offset")
+    return out.unionByName(whole) if full else out
 
 
 def pack_documents(docs: DataFrame, size: int = 1024, tokenizer: str | None = None) -> DataFrame:

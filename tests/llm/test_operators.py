@@ -186,6 +186,48 @@ def test_encoder_equals_tokenizer():
         assert list(np.frombuffer(e.encode(s), "<u4")) == e.whole(s)
 
 
+def test_encoder_takes_long_white_space():
+    e = packing.Encoder(packing.default_tokenizer())
+    for s in (" " * 3_000_000, "\n" * 1_500_000, "x" + " \t" * 400_000 + "y", "a" * 1_000_000):
+        assert list(np.frombuffer(e.encode(s), "<u4")) == e.whole(s)
+
+
+def test_pack_equals_brute_force(spark):
+    """Every piece of each length gets its own place, and together they are the plan's sequences."""
+    r = random.Random(12)
+    rows = [(r.choice([None, 7, i]), r.randint(0, 2), 0, r.choice([64, 64, 1, 5, 20, 20, 33, 50, 63]), 9) for i in range(3000)]
+    pieces = packing.cut(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    counts: dict = {}
+    for x in rows:
+        counts[x[3]] = counts.get(x[3], 0) + 1
+    for group in (10, 1 << 16):
+        got = packing.pack(pieces, 64, group).collect()
+        assert sorted((x.doc_id, x.piece, x.length) for x in got if x.doc_id) == sorted((x[0], x[1], x[3]) for x in rows if x[0]) and len(got) == len(rows)
+        shapes: dict = {}
+        for x in got:
+            shapes.setdefault(x.sequence_id, []).append((x.offset, x.length))
+        made: dict = {}
+        for parts in shapes.values():
+            parts.sort()
+            assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+            shape = tuple(n for _, n in parts)
+            made[shape] = made.get(shape, 0) + 1
+        assert sorted(made.items(), reverse=True) == packing.plan(counts, 64)
+
+
+def test_pieces_equal_brute_force(spark, odd):
+    """start, length and ids_crc32 of every piece against the tokenizer's own ids."""
+    whole = packing.Encoder(packing.default_tokenizer()).whole
+    want = []
+    for i, t, _ in ODD:
+        ids = [*whole(t or ""), packing.END]
+        first = len(ids) % 64 or 64 if len(ids) > 64 else len(ids)
+        bounds = [0, *range(first, len(ids) + 1, 64)]
+        want += [(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    got = [(x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in packing.pack_documents(odd, 64).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_plan_uses_the_histogram():
     r = random.Random(2)
     counts = {n: r.randint(1, 50) for n in r.sample(range(1, 129), 60)}
