@@ -4,11 +4,13 @@ A multinomial naive Bayes classifier is learned from documents whose domain is l
 words stands in each domain. It gives every document a posterior over the domains. Documents then get rates, how often
 each is to be used, such that the expected tokens of each domain (tokens times posterior times rate) meet the
 targets: least squares with a pull towards rate 1 that is small beside the rarest domain's share, solved to a stated
-tolerance. A document's rate depends on its posterior and one number for each domain alone (see fit_rates); each step
-is one distributed sum over the distinct posteriors. Everything runs in DataFrame operations.
+tolerance. Documents whose posteriors round to the same steps of 1 / steps form a cell and share a rate; all sums are of the
+posteriors as they are, so rounding moves no domain's total. A cell's rate depends on its mean posterior and one number for
+each domain alone (see fit_rates); each step is one distributed sum over the cells. Everything runs in DataFrame operations.
 
 Defined results: a null text counts as empty, has no tokens and the prior as its posterior; labelled rows without
-a domain do not train; without any labelled row all posteriors are even; domains without a target get target 0.
+a domain do not train; without any labelled row all posteriors are even; domains without a target get target 0. Repeated rows
+are documents like any others: each has its rate, and they have the same.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_spread
 
 
 @dataclass(frozen=True)
@@ -35,14 +37,8 @@ class Classifier:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words between spaces, tabs and line ends; some may be empty."""
-    return F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), "\n\t", "  "), " ")
-
-
-def words(column: str) -> Column:
-    """Tokens are counted by the spaces between them."""
-    text = F.translate(F.coalesce(F.col(column), F.lit("")), "\n\t", "  ")
-    return F.when(F.length(F.trim(text)) == 0, F.lit(0.0)).otherwise(F.octet_length(text) - F.octet_length(F.translate(text, " ", "")) + 1.0)
+    """Lower-case words between white space; some may be empty, which count nowhere."""
+    return F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), "\n\t\r\f\v", "     "), " ")
 
 
 def spread(sizes: list[int], rows: int) -> list[int]:
@@ -81,41 +77,39 @@ def learn(docs: DataFrame, labelled: DataFrame, domain: str, rows: int = 5_000,
     return Classifier(domains, [math.log(sizes[d] / n) for d in domains], cut(counts.select("w", *logs)))
 
 
-def posteriors(docs: DataFrame, by: Classifier, evidence: float = 60.0, digits: int = 2) -> DataFrame:
+def posteriors(docs: DataFrame, by: Classifier, temper: float = 0.25) -> DataFrame:
     """docs' columns but the text, __n (tokens) and __p (posterior over the domains), one row for each of docs.
 
-    Every word of the whole text counts that the sample holds; others say nothing. The evidence of more than `evidence`
-    words counts as that of so many, which keeps membership soft. No column of docs but the text should be large: they are shuffled.
+    Every word of the whole text counts that the sample holds; others say nothing. Evidence counts `temper` times, in texts of
+    any length, as words of a text are not independent. No column of docs but the text should be large: they are shuffled.
     """
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     k = range(len(by.domains))
-    out = docs.withColumn("__n", words("text")).withColumn("__row", F.monotonically_increasing_id())
+    said = F.col("w") != ""
     if by.words is not None:
-        said = out.select("__row", "__n", *(F.col(f"`{c}`") for c in kept), F.explode_outer(tokens(F.col("text"))).alias("w")).join(F.broadcast(by.words), "w", "left")
-        out = said.groupBy("__row", "__n", *(F.col(f"`{c}`") for c in kept)).agg(*(F.coalesce(F.sum(f"l{d}"), F.lit(0.0)).alias(f"l{d}") for d in k))
+        rows = docs.withColumn("__row", F.monotonically_increasing_id()).select("__row", *kept, F.explode(tokens(F.col("text"))).alias("w")).join(F.broadcast(by.words), "w", "left")
+        out = rows.groupBy("__row", *kept).agg(F.count_if(said).cast("double").alias("__n"), *(F.coalesce(F.sum(f"l{d}"), F.lit(0.0)).alias(f"l{d}") for d in k))
     else:
-        out = out.withColumns({f"l{d}": F.lit(0.0) for d in k})
-    scale = F.least(F.lit(1.0), F.lit(evidence) / F.greatest(F.col("__n"), F.lit(1.0)))
-    out = out.withColumns({f"__l{d}": F.lit(by.prior[d]) + scale * F.col(f"l{d}") for d in k})
+        out = docs.withColumns({"__n": F.size(F.filter(tokens(F.col("text")), lambda w: w != "")).cast("double")} | {f"l{d}": F.lit(0.0) for d in k})
+    out = out.withColumns({f"__l{d}": F.lit(by.prior[d]) + temper * F.col(f"l{d}") for d in k})
     most = F.greatest(*(F.col(f"__l{d}") for d in k)) if len(k) > 1 else F.col("__l0")
     out = out.withColumns({f"__e{d}": F.exp(F.col(f"__l{d}") - most) for d in k})
     total = sum((F.col(f"__e{d}") for d in k), F.lit(0.0))
-    out = out.withColumn("__p", F.array(*(F.round(F.col(f"__e{d}") / total, digits) for d in k)))
-    return out.select(*(F.col(f"`{c}`") for c in kept), "__n", "__p")
+    return out.select(*kept, "__n", F.array(*(F.col(f"__e{d}") / total for d in k)).alias("__p"))
 
 
 def rate(push: list[float], least: float = 0.0) -> Column:
-    """A document's rate from what fit_rates() found."""
+    """A cell's rate from what fit_rates() found."""
     return F.greatest(F.lit(least), F.lit(1.0) + sum((F.col("__p")[d] * F.lit(x) for d, x in enumerate(push)), F.lit(0.0)))
 
 
 def fit_rates(known: DataFrame, targets: list[float], total: float, pull: float, least: float = 0.0, tolerance: float = 1e-6, most: int = 200) -> list[float]:
-    """The push of each domain, from which rate() gives every document's rate. known: __n, __p; targets: wanted shares of `total` tokens.
+    """The push of each domain, from which rate() gives every cell's rate. known: __n, __p; targets: wanted shares of `total` tokens.
 
     Sought are rates r >= least with the least sum of e_d^2 / 2 over the domains' errors (shares of total) plus pull / 2 times
     the token-weighted mean of (r - 1)^2. There r = max(least, 1 + p . u) with u = -e / pull, so only u, a number for each
     domain, is to be found: the minimum of the convex function whose gradient is e + pull * u. Newton's method with halved
-    steps; each step is a sum over the distinct posteriors. It ends when no part of the gradient exceeds `tolerance` times its
+    steps; each step is a sum over the cells. It ends when no part of the gradient exceeds `tolerance` times its
     domain's target (the smallest one, where a domain has none).
     """
     k = len(targets)
@@ -160,20 +154,24 @@ def fit_rates(known: DataFrame, targets: list[float], total: float, pull: float,
     return u.tolist()
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None, domain: str = "lang", flatten: float = 0.7, keep_all: bool = False) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None, domain: str = "lang", flatten: float = 0.7, keep_all: bool = False, steps: int = 100) -> DataFrame:
     """doc_id and __hash of the text of every row of docs with __n, __p, __rate, __copies and __domains, the classifier's domains in the order of __p.
 
     weights: target share of each domain; None stands for the corpus's own expected shares to the power `flatten`.
     keep_all: rates of at least 1, for a total that makes this possible; else the total stays that of the corpus.
+    steps: documents whose posteriors round to the same multiples of 1 / steps share a rate.
     """
     by = learn(docs, labelled, domain)
     if not by.domains:
         names = sorted(weights or {"all": 1.0})
         by = Classifier(names, [0.0] * len(names), None)
-    scored = cut(posteriors(docs.select("doc_id", "text", text_hash().alias("__hash")), by))
-    scored = scored.withColumn("__chance", F.pmod(F.xxhash64("doc_id", "__hash"), F.lit(1 << 20)) / float(1 << 20))
-    known = cut(scored.groupBy("__p").agg(F.sum("__n").alias("__n")))
-    first = known.agg(*(F.sum(F.col("__n") * F.col("__p")[d]).alias(f"d{d}") for d in range(len(by.domains)))).first()
+    scored = cut(posteriors(docs.select("doc_id", "text", text_hash().alias("__hash")), by)).withColumn("__cell", F.transform("__p", lambda p: F.round(p * steps).cast("int")))
+    k = range(len(by.domains))
+    sums = [F.sum(F.col("__n") * F.col("__p")[d]) for d in k]
+    even = [F.avg(F.col("__p")[d]) for d in k]  # of a cell without tokens
+    mean = F.array(*(F.when(F.sum("__n") > 0, x / F.sum("__n")).otherwise(y) for x, y in zip(sums, even, strict=True)))
+    known = cut(scored.groupBy("__cell").agg(F.sum("__n").alias("__n"), mean.alias("__p"), F.count(F.lit(1)).alias("n")))
+    first = known.agg(*(F.sum(F.col("__n") * F.col("__p")[d]).alias(f"d{d}") for d in k)).first()
     sums = [x or 0.0 for x in first]
     tokens = max(1.0, sum(sums))
     shares = [x / tokens for x in sums]
@@ -185,8 +183,10 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None,
     # a domain reaches its target to about one part in 10,000, whatever its share
     pull = 1e-4 * min([x for x, w in zip(shares, wanted, strict=True) if x > 0 and w > 0], default=1.0)
     rates = rate(fit_rates(known, wanted, total, pull, least), least)
-    out = scored.withColumn("__rate", F.round(rates, 6))
-    return out.withColumn("__copies", F.floor(F.col("__rate") + F.col("__chance")).cast("int")).withColumn("__domains", F.array(*map(F.lit, by.domains)))
+    rated = cut(known.select("__cell", "n", F.round(rates, 9).alias("__rate")))
+    out = join_spread(scored, rated.select("__cell", "__rate"), ["__cell"], rated, ["doc_id", "__hash"])
+    chance = F.pmod(F.xxhash64("doc_id", "__hash"), F.lit(1 << 20)) / float(1 << 20)
+    return out.withColumn("__copies", F.floor(F.col("__rate") + chance).cast("int")).withColumn("__domains", F.array(*map(F.lit, by.domains)))
 
 
 def text_hash() -> Column:

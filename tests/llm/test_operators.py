@@ -407,6 +407,54 @@ def test_mixing_rates_are_least_squares(spark, least):
     assert np.abs(slope[x > least]).max() < 1e-5 and slope[x <= least].min(initial=0) > -1e-5
 
 
+def test_mixing_equals_brute_force(spark):
+    """Posteriors word by word, and rates by projected gradient over the cells, in numpy."""
+    r = random.Random(8)
+    words = {"en": ["the", "of", "and", "rain", "x"], "de": ["der", "und", "die", "regen", "x"], "fr": ["le", "la", "pluie", "x", "et"]}
+    rows = []
+    for i in range(120):
+        d, e = r.choice(["en", "en", "en", "de", "fr"]), r.choice(["en", "de", "fr"])
+        rows.append((i, "".join(r.choice(words[d if r.random() < 0.8 else e]) + r.choice([" ", "  ", "\n", "\r", " \t"]) for _ in range(r.randint(0, 9))), d))
+    rows += [(500, None, None), (501, "the THE the cat", "en"), (501, "the THE the cat", "en"), (None, "der der", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"w": F.lit(1), "n": F.lit("n"), "label": F.lit(2)})
+    labelled = docs.where("doc_id % 3 <> 1")
+    got = mixing.mixture(docs, labelled, {"en": 0.2, "de": 0.3, "fr": 0.5}, steps=10).collect()
+    names = ["de", "en", "fr"]
+    known = {(i, d) for i, _, d in rows if i is not None and i % 3 != 1 and d}
+    count = {d: {} for d in names}
+    for i, t, _ in rows:
+        for j, d in known:
+            if i == j:
+                for w in (t or "").lower().split():
+                    count[d][w] = count[d].get(w, 0) + 1
+    vocabulary = {w for c in count.values() for w in c}
+    own = {d: {w: count[d].get(w, 0) / max(1, sum(count[d].values())) for w in vocabulary} for d in names}
+    share = {d: {w: 0.9 * own[d][w] + 0.1 * sum(own[e][w] for e in names) / 3 for w in vocabulary} for d in names}
+    prior = np.array([sum(x == d for _, x in known) / len(known) for d in names])
+    want = {}
+    for i, t, _ in rows:
+        found = (t or "").lower().split()
+        z = np.log(prior) + 0.25 * np.array([sum(np.log(share[d][w]) for w in found if w in vocabulary) for d in names])
+        p = np.exp(z - z.max())
+        want[i] = len(found), p / p.sum()
+    assert len(got) == len(rows)
+    for g in got:
+        n, p = want[g.doc_id]
+        assert g.n_tokens == n and np.abs(np.array(g.posterior) - p).max() < 1e-9
+    # the rates: nonnegative, equal within a cell, least squares on the exact posteriors
+    p, n = np.array([g.posterior for g in got]), np.array([float(g.n_tokens) for g in got])
+    _, cell = np.unique(np.floor(p * 10 + 0.5).astype(int), axis=0, return_inverse=True)
+    cell = cell.ravel()
+    mass, goal = np.stack([np.bincount(cell, n * p[:, d]) for d in range(3)], 1) / n.sum(), np.array([0.3, 0.2, 0.5])
+    size, pull = np.bincount(cell, n) / n.sum(), 1e-4 * ((n @ p) / n.sum()).min()
+    x = np.ones(len(size))
+    for _ in range(200_000):
+        x = np.maximum(0, x - 0.4 * (mass @ (x @ mass - goal) + pull * size * (x - 1)) / size.max())
+    rates = np.array([g.rate for g in got])
+    assert np.abs((rates * n) @ p / n.sum() - goal).max() < 2e-3 and np.abs((x @ mass) - (rates * n) @ p / n.sum()).max() < 2e-3
+    assert all(len({round(v, 9) for v in rates[cell == c]}) == 1 for c in set(cell)) and rates.min() >= 0
+
+
 @pytest.mark.parametrize("n", [0, 5, 256, 257, 1500, 6000])
 def test_verified_blocks_equal_brute_force(n):
     r = np.random.default_rng(n)
