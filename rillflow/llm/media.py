@@ -4,7 +4,8 @@ An Aho-Corasick automaton finds magic bytes anywhere in a value. A validator for
 structure from there and confirms it together with its length, so a chance hit in text is rejected.
 
 Defined results: null bytes count as empty, an empty value has no type ("application/octet-stream" is
-returned) and no parts; a declared type that is null counts as not matching.
+returned) and no parts; a declared type that is null counts as not matching. Texts of any length are stored whole; equal
+texts give equal values.
 """
 
 from __future__ import annotations
@@ -109,15 +110,17 @@ def _jpeg(d: bytes, at: int) -> int | None:
 
 
 def _gzip(d: bytes, at: int) -> int | None:
-    z = zlib.decompressobj(31)
+    z, p = zlib.decompressobj(31), at
     try:
-        left = d[at:]
-        while left and not z.eof:
-            z.decompress(left, 1 << 20)
-            left = z.unconsumed_tail
+        while p < len(d) and not z.eof:
+            piece = d[p : p + (1 << 14)]  # a chance hit ends in the first piece or soon after
+            p += len(piece)
+            while piece and not z.eof:
+                z.decompress(piece, 1 << 20)
+                piece = z.unconsumed_tail
     except zlib.error:
         return None
-    return len(d) - len(z.unused_data) if z.eof else None
+    return p - len(z.unused_data) if z.eof else None
 
 
 def _zip(d: bytes, at: int) -> int | None:
@@ -131,20 +134,84 @@ def _zip(d: bytes, at: int) -> int | None:
 
 
 def _pdf(d: bytes, at: int) -> int | None:
-    end = d.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and d.find(b"startxref", at, end) >= 0 else None
+    """To the last end mark that follows a cross-reference's place, before the next PDF starts: updates are appended with end marks of their own."""
+    stop = d.find(b"%PDF-", at + 5)
+    stop, found, end = len(d) if stop < 0 else stop, None, at
+    while (end := d.find(b"%%EOF", end, stop)) >= 0:
+        mark = d.rfind(b"startxref", at, end)
+        if mark >= 0 and d[mark + 9 : end].strip().isdigit():
+            found = end + 5
+        end += 5
+    return found
+
+
+def _flac_header(d: bytes, p: int) -> tuple[int, int] | None:
+    """A frame's block size and the end of its header, which has a check sum of 8 bits."""
+    if p + 6 > len(d) or d[p] != 0xFF or d[p + 1] & 0xFE != 0xF8 or d[p + 2] >> 4 == 0 or d[p + 2] & 15 == 15 or d[p + 3] >> 4 > 10 or d[p + 3] & 1:
+        return None
+    lead = d[p + 4]
+    more = 0 if lead < 0x80 else next((n for n in range(1, 7) if lead >> (6 - n) == (1 << (n + 1)) - 2), -1)
+    if more < 0 or (lead >= 0x80 and lead < 0xC0):
+        return None
+    q, size = p + 5 + more, d[p + 2] >> 4
+    block = 192 if size == 1 else 144 << size if size < 6 else 1 << size
+    if size in (6, 7):
+        block = int.from_bytes(d[q : q + size - 5], "big") + 1
+        q += size - 5
+    q += {12: 1, 13: 2, 14: 2}.get(d[p + 2] & 15, 0)
+    return (block, q + 1) if q < len(d) and crc(d[p:q], 8, 0x07) == d[q] else None
+
+
+def crc_table(bits: int, polynomial: int) -> list[int]:
+    out = []
+    for b in range(256):
+        x = b << (bits - 8)
+        for _ in range(8):
+            x = (x << 1 ^ polynomial if x >> (bits - 1) else x << 1) & ((1 << bits) - 1)
+        out.append(x)
+    return out
+
+
+_TABLES: dict[int, list[int]] = {}
+
+
+def crc(data: bytes, bits: int, polynomial: int, x: int = 0) -> int:
+    """Check sum of so many bits, highest first, from 0."""
+    if bits not in _TABLES:
+        _TABLES[bits] = crc_table(bits, polynomial)
+    table, mask = _TABLES[bits], (1 << bits) - 1
+    for b in data:
+        x = (x << 8 & mask) ^ table[(x >> (bits - 8)) ^ b]
+    return x
 
 
 def _flac(d: bytes, at: int) -> int | None:
-    p, first = at + 4, True
-    while p + 4 <= len(d):
+    """To the end of the last frame: frames follow each other, each ends with a check sum of 16 bits, and together they hold the samples that the file states."""
+    p, first, total = at + 4, True, 0
+    while True:
+        if p + 4 > len(d):
+            return None
         kind, n = d[p] & 0x7F, int.from_bytes(d[p + 1 : p + 4], "big")
-        if first and (kind, n) != (0, 34) or kind == 127:
+        if first and (kind, n) != (0, 34) or kind == 127 or p + 4 + n > len(d):
             return None
+        if first:
+            total = int.from_bytes(d[p + 17 : p + 22], "big") & ((1 << 36) - 1)
         last, p, first = d[p] & 0x80, p + 4 + n, False
         if last:
-            return len(d) if p < len(d) and d[p : p + 1] == b"\xff" else None
-    return None
+            break
+    done, end = 0, None
+    while (header := _flac_header(d, p)) and not (total and done >= total):
+        done, sum_, q = done + header[0], crc(d[p : header[1]], 16, 0x8005), header[1]
+        while q + 2 <= len(d):
+            after = q + 2
+            # the end is where the check sum fits and another frame starts, or no more samples are due
+            if sum_ == d[q] << 8 | d[q + 1] and ((total and done >= total) or _flac_header(d, after) or (not total and after == len(d))):
+                end = p = after
+                break
+            sum_, q = crc(d[q : q + 1], 16, 0x8005, sum_), q + 1
+        else:
+            break
+    return end if end and (not total or done >= total) else None
 
 
 def _bmp(d: bytes, at: int) -> int | None:
