@@ -6,7 +6,8 @@ least one of radius + 1 bands of the 64 bits (nothing else can lie within the ra
 bands' values. Such a bucket is cut into tiles by population count; a tile meets itself and those whose count
 differs by at most `radius`, all others are skipped. A pair of tiles is compared with numpy's exclusive-or and
 bit counts and gives a spanning forest of its links, never all pairs. Tiles beyond `tile` nodes are split by a
-hash, so one bucket spreads over many tasks.
+hash, so one bucket spreads over many tasks. Joins deal out the rows of common keys (a bucket, the root of a large group,
+the fingerprint of very many copies).
 
 Defined results: a null text counts as empty; texts without words have fingerprint 0 and are linked like any
 other; null ids take part, a group's id is its smallest id that is not null (null if there is none).
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
+from .common import cut, forget, join_spread, map_rows
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -87,7 +88,8 @@ def links(nodes: DataFrame, radius: int = 2, tile: int = 2048) -> DataFrame:
     counts = rows.groupBy(*bucket, "ones").agg(F.count(F.lit(1)).alias("n"))
     # at most 65 population counts in a bucket
     sizes = counts.groupBy(*bucket).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("n") / tile).cast("int")))).alias("cuts")).where("total > 1")
-    rows = rows.join(sizes, bucket)
+    sizes = cut(sizes)
+    rows = join_spread(rows, sizes, bucket, sizes.select(*bucket, F.col("total").alias("n")), ["fp"])
     small = rows.where(F.col("total") <= tile).select(*bucket, F.lit(0).alias("tile_a"), F.lit(0).alias("tile_b"), F.lit(True).alias("left"), "fp")
     # Tile number: population count * 2^20 + part. Of a pair of tiles the one with the smaller number is on the left.
     large = rows.where(F.col("total") > tile)
@@ -142,8 +144,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        met = both.join(least, "a")
+        least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")))
+        met = join_spread(both, least.select("a", "m"), ["a"], least.select("a", "n"), ["b"])  # a large group's smallest node has very many neighbours
         if large:
             return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         return met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
@@ -154,7 +156,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = state(edges)
     while before[0]:
-        edges = cut(star(star(edges, True), False))
+        old, middle = edges, cut(star(edges, True))
+        edges = cut(star(middle, False))
+        forget(old, middle)
         after = state(edges)
         if after == before:
             break
@@ -166,16 +170,18 @@ def least_of_groups(nodes: DataFrame, radius: int = 2, tile: int = 2048) -> Data
     """nodes (fp, least; one row for each fp, stored) with the smallest `least` of the group instead: fp, least."""
     roots = components(links(nodes.select("fp"), radius, tile)).withColumnRenamed("node", "fp")
     linked = nodes.join(roots, "fp")
-    named = linked.select("fp", "root").join(linked.groupBy("root").agg(F.min("least").alias("best")), "root").select("fp", "best")
+    groups = cut(linked.groupBy("root").agg(F.min("least").alias("best"), F.count(F.lit(1)).alias("n")))
+    named = join_spread(linked.select("fp", "root"), groups.select("root", "best"), ["root"], groups.select("root", "n"), ["fp"]).select("fp", "best")
     return nodes.join(named, "fp", "left").select("fp", F.when(F.col("best").isNull(), F.col("least")).otherwise(F.col("best")).alias("least"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, tile: int = 2048) -> DataFrame:
     """doc_id, fingerprint and component_id of every row."""
     rows = cut(fingerprints(docs, words))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = cut(least_of_groups(nodes, radius, tile))
-    return rows.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    groups = cut(least_of_groups(nodes.select("fp", "least"), radius, tile))
+    # a fingerprint of very many copies is dealt out
+    return join_spread(rows, groups, ["fp"], nodes.select("fp", "n"), ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, radius: int = 2, words: int = 3, tile: int = 2048) -> DataFrame:
