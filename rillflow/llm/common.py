@@ -132,8 +132,10 @@ def fold(column: str, parts: int) -> F.Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """At most `rows` labelled rows of docs, chosen by a hash of doc_id: (doc_id, text, label).
 
-    Rows without a label take no part; for conflicting labels of one document the larger counts.
+    Rows without a label take no part; for conflicting labels of one document the larger counts. Rows that repeat an id
+    train once, with the text of the smallest hash (null only if there is no other).
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min_by("text", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).alias("text")).select("doc_id", "text", "label")

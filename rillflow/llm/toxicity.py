@@ -5,11 +5,13 @@ beginnings it holds; a document's is the noisy-or of its sentences and a leak (t
 1 - (1 - leak) * prod(1 - p). The parameters maximise the likelihood of the document labels; afterwards the
 sentence probabilities locate what is offending.
 
-The vocabulary comes from document counts of every feature in the labelled sample, counted by Spark; only
-features with evidence for a label stay, at most `vocabulary` of them.
+The vocabulary comes from document counts of every feature in the labelled sample, counted by Spark. A feature is in it if
+it stands in the larger share of the toxic documents: `ratio` times that of the others at least, and the logarithm of that
+is at least `sure` times its standard error. No number of features is set, and none of documents that must hold one.
 
 Defined results: a null text counts as empty; an empty text, or one without known features, scores the leak;
-documents without a label do not train; without any labelled toxic document every score is the leak.
+documents without a label do not train; without any labelled toxic document every score is the leak. Repeated rows are scored
+each and alike. Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -105,8 +107,8 @@ def maximise(bags: list[list[list[int]]], label: np.ndarray, names: list[str], s
     return NoisyOr(names, x[:k], float(x[k]), float(1 / (1 + math.exp(-x[k + 1]))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 20_000, vocabulary: int = 2_000, least: int = 4) -> NoisyOr:
-    """Train on at most `rows` labelled documents; a feature needs `least` documents of its label."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 20_000, ratio: float = math.e, sure: float = 2.0) -> NoisyOr:
+    """Train on at most `rows` labelled documents (the only bound)."""
     sample = cut(labelled_sample(docs, labels, label, rows))
 
     def counted():
@@ -121,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 20
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     weight = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 0.5) / (neg + 1))
     counts = map_rows(sample.repartition(12, "doc_id"), counted, "feature string, label int").groupBy("feature")
-    counts = counts.agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where(F.col("a") >= least).withColumn("w", weight)
-    best = counts.where("w > 1").orderBy(F.desc(F.col("w") * F.sqrt("a")), "feature").limit(vocabulary).collect()
+    counts = counts.agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).withColumn("w", weight)
+    best = counts.where(F.col("w") >= F.greatest(F.lit(math.log(ratio)), sure * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)))).orderBy("feature").collect()
     names = [r["feature"] for r in best]
 
     def bagged():
