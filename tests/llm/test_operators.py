@@ -8,6 +8,7 @@ from html import unescape
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rillflow.llm import html, licenses, media, mixing, neighbours, packing, quality, simhash, suffix, toxicity
@@ -48,6 +49,25 @@ def test_media_carving(spark):
     assert bytes(rows[1].parts[0]["bytes"]) == packed
 
 
+def flac_frame(number, samples):
+    head = bytes([0xFF, 0xF8, 0x69, 0x08, number, samples - 1])
+    body = head + bytes([media.crc(head, 8, 7)]) + b"\x00\x55" * 5
+    return body + media.crc(body, 16, 0x8005).to_bytes(2, "big")
+
+
+def test_media_ends():
+    assert media.crc(b"123456789", 8, 7) == 0xF4 and media.crc(b"123456789", 16, 0x8005) == 0xFEE8
+    info = bytes([0, 16, 0, 16]) + bytes(6) + (44100 << 44 | 15 << 36 | 40).to_bytes(8, "big") + bytes(16)
+    flac = b"fLaC\x80\x00\x00\x22" + info + flac_frame(0, 20) + flac_frame(1, 20)
+    pdf = b"%PDF-1.4 a startxref\n12\n%%EOF\nmore startxref 99 %%EOF"
+    gz = zlib.compressobj(wbits=31)
+    packed = gz.compress(b"inside" * 100_000) + gz.flush()
+    find = media.automaton()
+    for data, kind in ((flac, "audio/flac"), (pdf, "application/pdf"), (packed, "application/gzip")):
+        assert (2, len(data), kind) in media.sniff(b"xx" + data + b" what follows" * 2000, find)
+    assert media.sniff(flac[:-30], find) == [] and media.sniff(b"%PDF-1 %%EOF", find) == [] and media.sniff(b"\x1f\x8b\x08 x" * 50_000, find) == []
+
+
 def test_html(spark):
     page = "<html><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy</div><article><h1>T &amp; U</h1><p>One\n two<br>three<p>Four<aside>side</aside><script>x</script></article><div id=comments>bad</div><footer>f</footer>"
     assert html.main_text(page) == "T & U\nOne two three\nFour"
@@ -119,6 +139,19 @@ def test_licenses(odd, empty):
     assert rows[(2, 0)].labels == "" and rows[(2, 0)].first_word is None and licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_places_equal_brute_force(spark):
+    r = random.Random(14)
+    parts = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "x", "é", "Ccé"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", "\n", "-", ", ", "_"]) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    want = {}
+    for i, t in enumerate(texts):
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode()))
+        met = [(k, label) for k in range(len(words)) for phrase, label in licenses.PHRASES.items() if words[k : k + len(phrase.split())] == phrase.encode().split()]
+        want[i] = (len(words), len(met), min((k for k, _ in met), default=None), max((k for k, _ in met), default=None), ",".join(sorted({x for _, x in met})))
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {g.doc_id: (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) for g in got} == want and sum(w[1] for w in want.values()) > 50
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
 def test_license_filters_lose_nothing(threshold):
     r = random.Random(5)
@@ -305,6 +338,31 @@ def test_remove_repeated_keeps_columns(odd, empty):
     assert suffix.report(empty).count() == 0
 
 
+def test_fingerprints_equal_brute_force(spark):
+    r = random.Random(15)
+    texts = ["", None, " \n", "One", "one two", "É é"] + ["".join(r.choice("aBcÉé") + r.choice([" ", "  ", "\n", "\x0b", "", "\xa0"]) for _ in range(r.randint(1, 60))) for _ in range(100)]
+    got = {g.doc_id: g.fingerprint for g in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", lower) if w]
+        shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in shingles]
+        assert got[i] == f"{sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)):016x}"
+
+
+def test_simhash_deals_out_common_keys(spark, monkeypatch):
+    """One fingerprint of very many copies and a large group around it, with keys dealt out from two rows on."""
+    join = simhash.join_spread
+    monkeypatch.setattr(simhash, "join_spread", lambda *a: join(*a, least=2))
+    values = [0, *(1 << k for k in range(40)), *(7 << 60 | 1 << k for k in range(30)), 1 << 63 | 0xFFFF]
+    nodes = spark.createDataFrame([(simhash.signed(v),) for v in values], "fp long")
+    got = {x.node: x.root for x in simhash.components(simhash.links(nodes, 2, 4)).collect()}
+    low, high = min(values[:41]), min(simhash.signed(v) for v in values[41:71])
+    assert got == {v: low for v in values[:41]} | {simhash.signed(v): high for v in values[41:71]}
+    rows = spark.createDataFrame([(i, "same words in each") for i in range(50)] + [(50, "others")], "doc_id long, text string")
+    assert sorted((x.doc_id, x.component_id) for x in simhash.near_duplicates(rows).collect()) == [(i, 0) for i in range(50)] + [(50, 50)]
+
+
 def test_simhash_equals_brute_force(spark, odd, empty):
     r = random.Random(4)
     base = [r.getrandbits(64) for _ in range(40)]
@@ -343,6 +401,12 @@ def test_quality_and_toxicity(spark, odd, empty):
     held = quality.score_quality(docs, ranker).join(docs, "doc_id").where("doc_id >= 160")
     assert held.where("predicted = quality").count() / held.count() > 0.95
     assert quality.keep_good(odd, ranker).columns == odd.columns and quality.score_quality(empty, ranker).count() == 0
+    rows_, marks = np.array([quality.features(x.text) for x in docs.where("doc_id < 160").orderBy("doc_id").collect()]), np.array([x[2] for x in rows[:160]])
+    z = np.clip((rows_ - rows_.mean(0)) / np.maximum(rows_.std(0), 1e-6), -8, 8)
+    with_all = lambda w: np.logaddexp(0, -(z[marks == 1][:, None] - z[marks == 0][None]) @ w).mean() + 5e-5 * w @ w  # noqa: E731  every pair
+    best = with_all(ranker.weights)
+    assert best < with_all(ranker.weights * 0) and all(best < with_all(ranker.weights + 0.5 * e) + 1e-3 for e in np.eye(len(ranker.weights)))
+    assert abs(float((ranker.score(rows_) < 0.5).mean()) - (marks == 0).mean()) < 0.02
     none = quality.fit(docs, docs.select("doc_id", "quality").where("false"))
     assert {x.score for x in quality.score_quality(odd, none).collect()} == {0.5}
 
@@ -352,6 +416,15 @@ def test_quality_and_toxicity(spark, odd, empty):
     held = toxicity.score_toxicity(docs, model).join(docs, "doc_id").where("doc_id >= 300")
     assert held.where("predicted = toxic").count() / held.count() > 0.95
     assert all("Muckface" in x.sentence for x in toxicity.offending_sentences(docs, model).collect())
+    known = toxicity.Vocabulary(model.names)
+    for x in toxicity.score_toxicity(docs.limit(20), model).collect():  # noisy-or, sentence by sentence
+        text, left = bad[x.doc_id][1], 1 - model.leak
+        for sentence in re.split("[.!?\n]+", text):
+            found = {i for w in re.findall(r"[^\W\d_]+", sentence.lower()) for i in known[w]}
+            left *= 1 - 1 / (1 + np.exp(-(model.bias + sum(model.weights[i] for i in found)))) if found else 1
+        assert abs(x.score - (1 - left)) < 1e-9
+    twice = docs.unionByName(docs.where("doc_id < 5")).withColumn("label", F.lit("other"))
+    assert sorted(toxicity.fit(twice.where("doc_id < 300"), docs.select("doc_id", "toxic")).names) == sorted(model.names)  # repeated rows train once
     assert len(toxicity.score_toxicity(odd, model).collect()) == len(ODD) and toxicity.score_toxicity(empty, model).count() == 0
     assert toxicity.score_toxicity(odd, toxicity.fit(docs, docs.select("doc_id", "toxic").where("false"))).where("predicted = 1").count() == 0
 
