@@ -600,3 +600,6 @@ def checkpoint_two_phase(spark, sf):
 @query("SELECT event_id, event_type FROM events")
 def queue_accumulate(spark, sf):
     return queue.accumulate(spark, sf, "event_id", pattern="events.parquet").select("event_id", "event_type")
+
+
+from rillflow.plans import jobs as _jobs  # noqa: E402, F401  registers its queries
