@@ -55,6 +55,16 @@ def default_memory(size_mb: Column) -> Column:
     return F.least(F.greatest(2 * size_mb, F.lit(1000.0)), F.lit(8000.0))
 
 
+def checksum(text: Column, most: int = 1_000_000) -> Column:
+    """'sha256:' and the sum; null beyond `most` bytes, which are not summed (raise it to sum everything)."""
+    return F.when(F.octet_length(text) <= most, F.concat(F.lit("sha256:"), F.sha2(text, 256)))
+
+
+def is_same_checksum(text: Column, known: Column, most: int = 1_000_000) -> Column:
+    """Whether a text has a known checksum; false where either is missing or of another algorithm."""
+    return F.coalesce(checksum(text, most) == known, F.lit(False))
+
+
 def branch(condition: Column, cases: dict[object, object], otherwise: object = None) -> Column:
     """The case of the condition's value; falsy keys count like any others."""
     out = None
@@ -73,8 +83,13 @@ def lookup(rows: DataFrame, query: str, cols: list[str] | None = None, default:
     found = found.select(*cols) if cols else found
     if default is None:
         return found
-    none = found.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(*(F.lit(default.get(c)).cast(t).alias(c) for c, t in found.dtypes))
-    return found.unionByName(none)
+    # the rows are found once and stored, whether there are any or not
+    from rillflow.operators.graph import stored
+
+    found = stored(found)
+    if not found.isEmpty():
+        return found
+    return found.sparkSession.range(1).select(*(F.lit(default.get(c)).cast(t).alias(c) for c, t in found.dtypes))
 
 
 def has_rows(rows: DataFrame, query: str, n: int) -> DataFrame:

@@ -135,3 +135,18 @@ def distinct_neighbours(rows: DataFrame, by: str, order: list[str], value: str)
     """Rows whose value differs from the one before, in order, per `by`."""
     before = F.lag(value).over(W.partitionBy(by).orderBy(*order))
     return rows.withColumn("__b", before).where(~F.col(value).eqNullSafe(F.col("__b")) | F.col("__b").isNull()).drop("__b")
+
+
+def shown_rules(rule: str, most: int = 50) -> Column:
+    """The sorted, comma-joined set of rules; beyond `most` of them '...' stands for the rest."""
+    rules = F.sort_array(F.collect_set(rule))
+    return F.array_join(F.when(F.size(rules) > most, F.concat(F.slice(rules, 1, most), F.array(F.lit("...")))).otherwise(rules), ",")
+
+
+def last_producer(files: DataFrame, path: str, time: str, job: str, makes: str) -> DataFrame:
+    """files with `src`, the job that last wrote the path before (of those at one time the largest); rows without one are left out.
+
+    One window for each path. No producer meets every consumer, so the work grows with the files.
+    """
+    before = W.partitionBy(path).orderBy(F.col(time).cast("timestamp").cast("double")).rangeBetween(W.unboundedPreceding, -1)
+    return files.withColumn("src", F.max_by(job, F.when(F.col(makes), F.struct(time, job))).over(before)).where("src IS NOT NULL")

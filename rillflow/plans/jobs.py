@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillflow.functions import files as V
+from rillflow.functions import helpers as H
 from rillflow.functions import patterns as P
 from rillflow.operators import graph as G
 from rillflow.operators import jobs as J
+from rillflow.operators import planning as L
 from rillflow.plans.queries import EDGES, FILES, JOBS, query
 from rillflow.sources.tables import edges, files, jobs, table
+from rillflow.streaming import queue
 
 
 def _lines(column: str) -> str:
@@ -27,6 +30,14 @@ def path_exists(spark, sf):
     return V.exists(table(spark, sf, "part").select("p_partkey", F.concat(F.lit("part/"), "p_partkey").alias("path")), made).select("p_partkey", "exists")
 
 
+@query("SELECT doc_id, doc_id % 3 = 0 AS same FROM documents")
+def checksum_known(spark, sf):
+    """Checksums that are right, of another algorithm, or not there."""
+    k = F.col("doc_id") % 3
+    known = F.when(k == 0, F.concat(F.lit("sha256:"), F.sha2("text", 256))).when(k == 1, F.concat(F.lit("md5:"), F.md5(F.col("text").cast("binary"))))
+    return table(spark, sf, "documents").select("doc_id", H.is_same_checksum(F.col("text"), known).alias("same"))
+
+
 @query("SELECT event_id, upper(event_type) || ':' || coalesce(json_extract_string(props, '$.k'), '') AS parsed FROM events")
 def parse_input(spark, sf):
     lines = table(spark, sf, "events").select("event_id", F.concat_ws("\t", "event_type", "props").alias("line"))
@@ -281,3 +292,84 @@ def job_products(spark, sf):
     o = jobs(spark, sf).where("rule = '3-MEDIUM'").select("job")
     outputs = files(spark, sf).join(o, "job", "left_semi").select("path")
     return outputs.unionByName(o.select(F.concat(F.lit("/log/"), "job").alias("path"))).distinct()
+
+
+# What must run, and plans that results change
+
+
+_STATE = """(SELECT p_partkey AS node, p_size % 6 = 0 AS missing, p_partkey NOT IN (SELECT src FROM {edges}) AS needed, p_partkey % 211 = 3 AS forced, p_retailprice % 97 < 2 AS updated,
+p_brand = 'Brand#13' AND p_size > 45 AS code, p_size = 11 AND p_partkey % 4 = 0 AS inputs, CASE WHEN p_size = 9 THEN p_partkey % 5 = 0 END AS params FROM part)""".format(edges=EDGES)
+_OWN = "CASE WHEN forced THEN 'forced' WHEN missing AND needed THEN 'missing output' WHEN updated THEN 'updated input' WHEN code THEN 'code changed' WHEN inputs THEN 'input changed' WHEN params THEN 'params changed' END"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT node, missing, {_OWN} AS own FROM {_STATE}), e AS (SELECT src, dst FROM {EDGES}),
+step AS (SELECT src AS a, dst AS b FROM e WHERE dst % 5 <> 0 UNION ALL SELECT dst, src FROM e JOIN s ON s.node = src WHERE missing),
+r(node) AS (SELECT node FROM s WHERE own IS NOT NULL UNION SELECT b FROM r JOIN step ON a = r.node)
+SELECT r.node, coalesce(own, CASE WHEN missing AND r.node IN (SELECT src FROM e JOIN r ON r.node = dst) THEN 'missing output' END, 'input comes anew') AS reason FROM r JOIN s ON s.node = r.node""")
+def needrun_reasons(spark, sf):
+    """Missing outputs of targets and of jobs in between, forced jobs, changes, and inputs taken as ancient."""
+    p, e = table(spark, sf, "part"), edges(spark, sf)
+    taken = e.select(F.col("src").alias("p_partkey"), F.lit(False).alias("needed")).distinct()
+    state = p.join(taken, "p_partkey", "left").select(
+        F.col("p_partkey").alias("node"), (F.col("p_size") % 6 == 0).alias("missing"), F.coalesce("needed", F.lit(True)).alias("needed"), (F.col("p_partkey") % 211 == 3).alias("forced"),
+        (F.col("p_retailprice") % 97 < 2).alias("updated"), ((F.col("p_brand") == "Brand#13") & (F.col("p_size") > 45)).alias("code"), ((F.col("p_size") == 11) & (F.col("p_partkey") % 4 == 0)).alias("inputs"),
+        F.when(F.col("p_size") == 9, F.col("p_partkey") % 5 == 0).alias("params"),
+    )
+    return G.run_reasons(e.withColumn("ancient", F.col("dst") % 5 == 0), state)
+
+
+@query("WITH RECURSIVE r(node) AS (SELECT CAST(1 AS BIGINT) UNION SELECT c.p_partkey FROM r JOIN part p ON p.p_partkey = r.node JOIN part c ON c.p_partkey = 2 * r.node OR (p.p_size >= 25 AND c.p_partkey = 2 * r.node + 1)) SELECT node FROM r")
+def checkpoint_replan(spark, sf):
+    """What a finished job's size turns out to be decides whether it has one follower or two."""
+    p = table(spark, sf, "part")
+
+    def expand(new):
+        results = p.join(new.withColumnRenamed("node", "p_partkey"), "p_partkey")
+        two = F.when(F.col("p_size") >= 25, F.array(F.col("p_partkey") * 2, F.col("p_partkey") * 2 + 1)).otherwise(F.array(F.col("p_partkey") * 2))
+        return results.select(F.explode(two).alias("p_partkey")).join(p.select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("node"))
+
+    return G.replan(p.where("p_partkey = 1").select(F.col("p_partkey").alias("node")), expand)
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id <> (SELECT max(event_id) FROM events)")
+def queue_sentinel(spark, sf):
+    """The last event ends the queue and is no item of it; all stand in one batch, or come later than it."""
+    last = table(spark, sf, "events").agg(F.max("event_id")).first()[0]
+    return queue.accumulate(spark, sf, "event_id", f"event_id = {last}", pattern="events.parquet").select("event_id", "event_type")
+
+
+@query(f"SELECT DISTINCT f.path FROM {FILES} f WHERE f.temp AND NOT EXISTS (SELECT 1 FROM {FILES} g WHERE g.path = f.path AND NOT g.temp AND g.mtime > f.mtime AND g.job % 4 = 0)")
+def temp_without_consumer(spark, sf):
+    """Temporary files that no later job (of those that still run) takes."""
+    f = files(spark, sf)
+    made = f.where("temp").groupBy("path").agg(F.max("mtime").alias("first"))
+    used = f.where("NOT temp AND job % 4 = 0").groupBy("path").agg(F.max("mtime").alias("last"))
+    return made.join(used, "path", "left").where("last IS NULL OR first >= last").select("path")
+
+
+@query("SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) <> list_sort(list(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderpriority END)) AS params FROM orders GROUP BY 1")
+def params_changes(spark, sf):
+    """Two sets of parameters of which either may have what the other lacks."""
+    then = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).otherwise(F.col("o_orderpriority"))
+    g = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("now"), F.collect_list(then).alias("then"))
+    return g.select("o_custkey", L.params_changed(F.col("now"), F.col("then")).alias("params"))
+
+
+@query(f"""SELECT j.job, CASE WHEN f.job IS NULL THEN 'missing' WHEN newest > start THEN 'updated input files' WHEN j.job % 13 = 0 THEN 'code has changed' WHEN inputs THEN 'set of input files has changed' WHEN j.job % 17 = 0 THEN 'params have changed' ELSE 'ok' END AS status
+FROM {JOBS} j LEFT JOIN (SELECT job, max(mtime) FILTER (WHERE size < 20000) AS newest, bool_or(temp) AND NOT bool_and(temp) AS inputs FROM {FILES} GROUP BY job) f USING (job)""")
+def summary_of_changes(spark, sf):
+    """The status of each job from its files and from recorded code, inputs and parameters."""
+    f = files(spark, sf).groupBy("job").agg(F.max(F.when(F.col("size") < 20_000, F.col("mtime"))).alias("newest"), F.collect_list("path").alias("now"), F.collect_list(F.when(F.col("temp"), F.col("path"))).alias("kept"), F.max("temp").alias("any"))
+    met = jobs(spark, sf).join(f, "job", "left")
+    k = F.col("job")
+    code = L.value_changed(F.lit("v2"), F.when(k % 13 == 0, "v1").otherwise("v2"), F.lit(6), 3)
+    then = F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("now"))
+    params = L.params_changed(F.array(F.lit("a")), F.when(k % 17 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("a"))))
+    status = L.summary_status(F.col("now").isNull(), F.coalesce(F.col("newest") > F.col("start"), F.lit(False)), code, L.input_changed(F.col("now"), then), params)
+    return met.select("job", status.alias("status"))
+
+
+@query(f"SELECT path FROM {FILES} WHERE job % 13 = 0 AND temp")
+def outputs_with_changes(spark, sf):
+    changed = L.value_changed(F.lit("v2"), F.when(F.col("job") % 13 == 0, "v1").otherwise("v2"), F.lit(6), 3)
+    return files(spark, sf).where("temp").where(changed).select("path")

@@ -289,16 +289,15 @@ def validate_defaults(spark, sf):
 # Joins over files and jobs
 
 
-@query(f"SELECT DISTINCT a.job AS dst, b.job AS src, a.path FROM {FILES} a JOIN {FILES} b ON a.path = b.path AND b.mtime < a.mtime AND b.temp AND b.size > 50000")
+@query(f"SELECT job AS dst, src, path FROM (SELECT path, job, mtime, arg_max(job, (mtime, job)) FILTER (WHERE temp) OVER (PARTITION BY path ORDER BY mtime RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS src FROM {FILES}) WHERE src IS NOT NULL")
 def edges_from_io(spark, sf):
-    f = files(spark, sf)
-    made = f.where("temp AND size > 50000").select(F.col("job").alias("src"), "path", F.col("mtime").alias("made"))
-    return f.join(made, "path").where("made < mtime").select(F.col("job").alias("dst"), "src", "path").distinct()
+    """Every job's edge to the producer of each file that it takes: the last job that had written the path before."""
+    return L.last_producer(files(spark, sf), "path", "mtime", "job", "temp").select(F.col("job").alias("dst"), "src", "path")
 
 
 @query(f"SELECT DISTINCT a.job AS dst, b.job AS src, a.path FROM {FILES} a JOIN {FILES} b ON a.path = b.path AND b.mtime < a.mtime AND b.temp")
 def edges_from_io_all(spark, sf):
-    """All producers, whatever their size."""
+    """All producers that came before, as many as there are: the result itself is producers times consumers of a path."""
     return io_edges(files(spark, sf))
 
 
@@ -356,9 +355,9 @@ def priority_closure(spark, sf):
     return p.join(high, "node", "left").select("node", F.coalesce("high", "p_size").alias("priority"))
 
 
-@query(f"WITH RECURSIVE e AS (SELECT src, dst FROM {EDGES} WHERE dst % 3 <> 0), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, other) AS (SELECT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.other) SELECT node, min(other) AS component FROM r GROUP BY node")
+@query(f"WITH RECURSIVE e AS (SELECT src, dst FROM {EDGES}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, other) AS (SELECT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.other) SELECT node, min(other) AS component FROM r GROUP BY node")
 def components(spark, sf):
-    return G.components(edges(spark, sf).where("dst % 3 <> 0"))
+    return G.components(edges(spark, sf))
 
 
 @query()
@@ -454,7 +453,11 @@ def group_resources_merge(spark, sf):
     return L.merge_resources(rows).select(F.col("group").alias("grp"), "runtime", "mem")
 
 
-@query()
+@query("""WITH RECURSIVE j AS (SELECT o_custkey AS grp, o_orderkey AS job, o_orderkey % 64 + 1 AS mem, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 64 + 1 DESC, o_orderkey % 100 DESC, o_orderkey) AS n FROM orders),
+r(grp, n, free, job, layer) AS (SELECT DISTINCT grp, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM j
+UNION ALL SELECT grp, n, CASE WHEN place IS NULL THEN list_append(free, 128 - mem) ELSE list_concat(free[1:place - 1], [free[place] - mem], free[place + 1:]) END, job, coalesce(place, len(free) + 1) - 1
+FROM (SELECT r.grp, j.n, r.free, j.job, j.mem, nullif(list_position(list_transform(r.free, lambda x: x >= j.mem), true), 0) AS place FROM r JOIN j ON j.grp = r.grp AND j.n = r.n + 1))
+SELECT grp AS "group", job, layer FROM r WHERE n > 0""")
 def group_layers_firstfit(spark, sf):
     o = table(spark, sf, "orders")
     return L.first_fit(o.select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("job"), (F.col("o_orderkey") % 64 + 1).alias("mem"), (F.col("o_orderkey") % 100).alias("runtime")), 128)
@@ -495,7 +498,7 @@ def job_stats_total(spark, sf):
 
 @query("SELECT o_orderstatus AS reason, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS rules FROM orders GROUP BY 1")
 def reasons_by_rule(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("reason")).agg(F.array_join(F.slice(F.sort_array(F.collect_set("o_orderpriority")), 1, 50), ",").alias("rules"))
+    return table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("reason")).agg(L.shown_rules("o_orderpriority").alias("rules"))
 
 
 @query(f"SELECT job, min(mtime) AS started, max(mtime) AS ended, string_agg(path, ',' ORDER BY path) AS outputs FROM {FILES} GROUP BY job")
@@ -551,7 +554,7 @@ def temp_unneeded(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN strlen(text) <= 1000000 THEN 'sha256:' || sha256(text) END AS checksum FROM documents")
 def checksum_sha256(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.when(F.octet_length("text") <= 1_000_000, F.concat(F.lit("sha256:"), F.sha2("text", 256))).alias("checksum"))
+    return table(spark, sf, "documents").select("doc_id", H.checksum(F.col("text")).alias("checksum"))
 
 
 @query("SELECT a.doc_id, count(*) - 1 AS same FROM documents a JOIN (SELECT sha256(text) AS h FROM documents) b ON sha256(a.text) = b.h GROUP BY 1")
@@ -579,9 +582,8 @@ def scatter_names(spark, sf):
 @query("SELECT o_orderpriority, count(*) AS n, CAST(sum(floor(o_totalprice)) AS BIGINT) AS total FROM orders GROUP BY 1")
 def scatter_gather_roundtrip(spark, sf):
     o = table(spark, sf, "orders").withColumn("part", F.pmod(F.xxhash64("o_orderkey"), F.lit(4)))
-    parts = [o.where(F.col("part") == k).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("o_totalprice")).alias("total")) for k in range(4)]
-    whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return whole.groupBy("o_orderpriority").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    parts = o.groupBy("part", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("o_totalprice")).alias("total"))
+    return parts.groupBy("o_orderpriority").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 @query("SELECT n_nationkey AS job, unnest(range(1, n_nationkey % 3 + 2)) AS attempt FROM nation")
