@@ -264,9 +264,9 @@ def sniff_media(df: DataFrame, data: str = "data", declared: str | None = None)
         return pd.DataFrame(rows, columns=["kind", "parts"])
 
     said = F.col(declared) if declared else F.lit(None).cast("string")
-    out = df.withColumn("__carved", carve(F.col(data))).withColumn("__said", said)
-    out = out.withColumns({"media_type": F.col("__carved.kind"), "parts": F.col("__carved.parts")})
-    return out.withColumn("type_is_right", F.coalesce(F.col("__said") == F.col("media_type"), F.lit(False))).drop("__carved", "__said")
+    own = {"media_type": F.col("carved.kind"), "parts": F.col("carved.parts"), "type_is_right": F.coalesce(F.col("said") == F.col("carved.kind"), F.lit(False))}
+    rows = df.select(F.struct("*").alias("row"), carve(F.col(data)).alias("carved"), said.alias("said"))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c not in own), *(v.alias(k) for k, v in own.items()))
 
 
 def as_wav(payload: bytes, rate: int = 8000) -> bytes:

@@ -189,9 +189,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None,
     return out.withColumn("__copies", F.floor(F.col("__rate") + chance).cast("int")).withColumn("__domains", F.array(*map(F.lit, by.domains)))
 
 
-def text_hash() -> Column:
+def text_hash(text: str = "text") -> Column:
     """128 bits of a text; null has its own."""
-    return F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null"))
+    return F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null"))
 
 
 def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None, **how) -> DataFrame:
@@ -205,5 +205,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None
     """The rows of docs, all columns, each as often as its copies say."""
     # rows of the same id and text have the same copies; stored, so that the rates are worked out once
     copies = cut(mix(docs, labelled, weights, **how).select(F.col("doc_id").alias("__id"), "__hash", "__copies").dropDuplicates(["__id", "__hash"]).where("__copies > 0"))
-    out = docs.withColumn("__h", text_hash()).join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
-    return out.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # the rows of docs travel as one column, so none of their names clashes
+    own = docs.select(F.struct("*").alias("row")).withColumn("__h", text_hash("row.text"))
+    out = own.join(copies, F.col("row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")

@@ -196,6 +196,8 @@ def one_of_each(docs: DataFrame, radius: int = 2, words: int = 3, tile: int = 20
     nodes = cut(rows.groupBy("fp").agg(F.min(key).alias("least")))
     kept = cut(least_of_groups(nodes, radius, tile).select("least.doc_id", "least.text_hash").distinct())
     kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    met = docs.withColumn("__own", F.xxhash64("text")).alias("d").join(kept, F.col("d.doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("d.__own") == F.col("__hash")))
+    # the rows of docs travel as one column, so none of their names clashes
+    own = docs.select(F.struct("*").alias("row")).withColumn("__own", F.xxhash64("row.text"))
+    met = own.join(kept, F.col("row.doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")))
     first = W.partitionBy("__id", "__hash").orderBy("__hash")  # repeated rows of one document
-    return met.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    return met.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("row.*")

@@ -370,10 +370,10 @@ def kept_bytes(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with __cuts, a list of (level, lo, hi), null where nothing repeats."""
-    listed = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__cuts"))
-    own = docs.withColumn("__own", F.xxhash64("text"))
-    return own.join(listed, same_text(own["doc_id"].cast("long"), own["__own"], listed["__id"], listed["__hash"]), "left").drop("__own", "__id", "__hash")
+    """row (docs' columns as one, so that none of their names clashes) and cuts, a list of (level, lo, hi), null where nothing repeats."""
+    listed = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("cuts"))
+    own = docs.select(F.struct("*").alias("row")).withColumn("__own", F.xxhash64("row.text"))
+    return own.join(listed, same_text(F.col("row.doc_id").cast("long"), own["__own"], listed["__id"], listed["__hash"]), "left").select("row", "cuts")
 
 
 def report(docs: DataFrame, length: int = 400, passage: int = 200, words: int = 50) -> DataFrame:
@@ -395,7 +395,7 @@ def report(docs: DataFrame, length: int = 400, passage: int = 200, words: int =
         return f
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long"
-    return map_rows(with_spans(small, spans(small, (passage, length))), make, schema)
+    return map_rows(with_spans(small, spans(small, (passage, length))).select("row.doc_id", "row.text", "cuts"), make, schema)
 
 
 def remove_repeated(docs: DataFrame, length: int = 400, words: int = 0) -> DataFrame:
@@ -414,8 +414,10 @@ def remove_repeated(docs: DataFrame, length: int = 400, words: int = 0) -> DataF
         return pd.Series([t if t is None or c is None else left(t, c) for t, c in zip(texts, cuts, strict=True)], dtype=object)
 
     out = with_spans(docs, spans(docs, (length,)))
-    changed = F.col("__cuts").isNotNull()
-    out = out.withColumn("text", F.when(changed, kept(F.col("text"), F.col("__cuts"))).otherwise(F.col("text")))
+    row, text = F.col("row"), F.col("row.text")
+    row = row.withField("text", F.when(F.col("cuts").isNotNull(), kept(text, F.col("cuts"))).otherwise(text))
+    out = out.select(row.alias("row"), "cuts")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+        n = F.when(F.col("cuts").isNotNull(), F.length("row.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+        out = out.select(F.col("row").withField("n_chars", n).alias("row"))
+    return out.select("row.*")
