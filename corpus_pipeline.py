@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import mixing, packing, quality, simhash, suffix
-from rillflow.llm.common import shared_dir
+from rillflow.llm.common import remove, shared_dir
 from rillflow.llm.queries import labelled, table
 
 
@@ -45,10 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each stored as Parquet and read again as the next one's docs."""
+    """The stages one after another, each stored as Parquet and read again as the next one's docs; only the last one's rows are left."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
