@@ -182,8 +182,8 @@ def units(visits: DataFrame, placed: DataFrame, shift: int, sizes: dict[int, int
     """Both sides with `unit`: a part of a branch (cells that are equal but for their last `shift` bits; at most `rows` rows or so) times a part of its queries (`asks`). visits: branch, ...; sizes: rows of each branch."""
     asked = {r["branch"]: r["count"] for r in visits.groupBy("branch").count().collect()}  # as many rows as branches
     spark = visits.sparkSession
-    least = -(-2 * spark.sparkContext.defaultParallelism // max(1, len(asked)))  # few branches: their queries are dealt out more
-    plan = spark.createDataFrame([(c, -(-sizes.get(c, 1) // rows), max(min(least, n), -(-n // asks))) for c, n in asked.items()], "branch long, parts long, turns long")
+    least = -(-spark.sparkContext.defaultParallelism // max(1, len(asked)))  # few branches: their queries are dealt out more, 128 to a task at least
+    plan = spark.createDataFrame([(c, -(-sizes.get(c, 1) // rows), max(1, min(least, n // 128), -(-n // asks))) for c, n in asked.items()], "branch long, parts long, turns long")
     v = visits.join(F.broadcast(plan), "branch").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     v = v.withColumn("unit", F.concat_ws(":", "branch", "part", F.pmod(F.xxhash64("query_id"), "turns")))
     c = placed.withColumn("branch", F.shiftright("cell", shift)).join(F.broadcast(plan), "branch").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
