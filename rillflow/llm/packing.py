@@ -238,7 +238,7 @@ def blocks(found: list[tuple[int, int, int]], total: int) -> tuple[int, list[tup
     return width, list(out.items())
 
 
-def pack(pieces: DataFrame, size: int = 1024, group: int = 1 << 16, groups: int = 1 << 17) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 1024, group: int = 1 << 10, groups: int = 1 << 17) -> DataFrame:
     """pieces with sequence_id and offset. pieces is read several times and its rows are numbered as they stand: hand in stored rows.
 
     At most groups + size groups are made, larger ones beyond, so what is broadcast (their offsets, and the slots, which
