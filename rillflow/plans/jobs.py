@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rillflow.functions import files as V
 from rillflow.functions import helpers as H
 from rillflow.functions import patterns as P
+from rillflow.functions import tables as T
 from rillflow.operators import graph as G
 from rillflow.operators import jobs as J
 from rillflow.operators import planning as L
@@ -373,3 +374,54 @@ def summary_of_changes(spark, sf):
 def outputs_with_changes(spark, sf):
     changed = L.value_changed(F.lit("v2"), F.when(F.col("job") % 13 == 0, "v1").otherwise("v2"), F.lit(6), 3)
     return files(spark, sf).where("temp").where(changed).select("path")
+
+
+# Validation of nested rows, with references
+
+
+def _accounts(spark, sf):
+    account = F.struct(F.col("c_nationkey").alias("nation"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), F.col("c_acctbal").alias("balance"))
+    return table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 > 0, account).alias("account"))
+
+
+ACCOUNTS = {
+    "required": ["account"],
+    "properties": {"account": {"$ref": "#/$defs/account"}},
+    "$defs": {
+        "account": {
+            "type": "object",
+            "required": ["segment"],
+            "properties": {
+                "nation": {"type": "integer", "allOf": [{"minimum": 3}, {"$ref": "limits#/nations"}]},
+                "balance": {"type": "string", "anyOf": [{"maximum": 0}, {"minimum": 5000, "exclusiveMaximum": 9000}]},
+                "segment": {"type": ["string", "null"], "not": {"pattern": "^M"}, "default": "NONE"},
+                "tier": {"default": 1},
+            },
+        }
+    },
+}
+LIMITS = {"limits": {"nations": {"maximum": 20}}}
+
+
+@query("""WITH t AS (SELECT c_custkey, c_custkey % 7 = 0 AS none, c_nationkey AS n, c_acctbal AS b, c_mktsegment AS s FROM customer)
+SELECT c_custkey, unnest(list_filter(CASE WHEN none THEN ['account: required'] ELSE [CASE WHEN s = 'BUILDING' THEN 'account.segment: required' END, CASE WHEN n < 3 THEN 'account.nation: minimum' END,
+CASE WHEN n > 20 THEN 'account.nation: maximum' END, CASE WHEN b > 0 AND (b < 5000 OR b >= 9000) THEN 'account.balance: anyOf' END, 'account.balance: type',
+CASE WHEN s LIKE 'M%' THEN 'account.segment: not' END] END, lambda x: x IS NOT NULL)) AS problem FROM t""")
+def validate_nested(spark, sf):
+    """References within the schema and into another one, parts that hold together, alternatives, nested objects."""
+    return T.violations(_accounts(spark, sf), ACCOUNTS, "c_custkey", LIMITS)
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN coalesce(nullif(c_mktsegment, 'BUILDING'), 'NONE') END AS segment, CASE WHEN c_custkey % 7 > 0 THEN '1' END AS tier FROM customer""")
+def validate_nested_defaults(spark, sf):
+    return T.with_defaults(_accounts(spark, sf), ACCOUNTS, LIMITS).select("c_custkey", "account.segment", F.col("account.tier").cast("string").alias("tier"))
+
+
+@query("""SELECT event_id, unnest(list_filter([CASE WHEN value <> floor(value) THEN 'value: type' END, CASE WHEN length(event_type) > 5 THEN 'event_type: maxLength' END,
+CASE WHEN user_id % 3 <> 0 THEN 'user_id: multipleOf' END, CASE WHEN user_id <= 10 THEN 'user_id: exclusiveMinimum' END, 'host: required'], lambda x: x IS NOT NULL)) AS problem FROM events""")
+def validate_types(spark, sf):
+    schema = {
+        "required": ["event_type", "host"],
+        "properties": {"value": {"type": "integer"}, "event_type": {"type": "string", "maxLength": 5}, "user_id": {"type": "number", "multipleOf": 3, "exclusiveMinimum": 10}},
+    }
+    return T.violations(table(spark, sf, "events"), schema, "event_id")
