@@ -44,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     with tidy(df.sparkSession):
-        return df.checkpoint()
+        return df.select("*").checkpoint()  # whether its shuffles go is settled when a DataFrame is made, not when it runs
 
 
 def remove(spark: SparkSession, path: str) -> None:
