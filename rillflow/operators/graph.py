@@ -3,6 +3,9 @@
 Every loop joins a frontier and stores each round's new rows alone, so that what is written grows with the nodes and not with
 rounds times nodes; the rounds found so far are read together, and merged into one table when there are many. A lost executor
 costs nothing that was finished.
+
+A broadcast goes through the driver, and in a loop it does so every round: the joins here shuffle both sides, and only a
+frontier of at most FEW rows, counted when it was stored, is broadcast.
 """
 
 from __future__ import annotations
@@ -27,6 +30,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that a round may broadcast.
+FEW = 5_000
+
+
+def meet(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """a joined with b by shuffling both, however small the planner takes one to be."""
+    return a.join(b.hint("merge"), on, how)
+
+
+def few(rows: DataFrame, size: int) -> DataFrame:
+    """rows to join with: broadcast if there are few of them, else shuffled."""
+    return F.broadcast(rows) if size <= FEW else rows.hint("merge")
+
+
 class Rounds:
     """The rows that a loop has found, a stored table for each round; every `most` rounds become one."""
 
@@ -46,18 +63,18 @@ def closure(edges: DataFrame, start: DataFrame, stop: DataFrame | None = None) -
     """(node, depth): what is reachable from start (node), start included, at its least depth. Nodes of stop are neither returned nor passed."""
     step = edges.select(F.col("src").alias("node"), "dst")
     if stop is not None:
-        start = start.join(stop, "node", "left_anti")
+        start = meet(start, stop, "node", "left_anti")
     frontier, depth = stored(start.select("node").distinct().withColumn("depth", F.lit(0))), 0
-    seen = Rounds(frontier)
-    while True:
+    seen, size = Rounds(frontier), frontier.count()
+    while size:
         depth += 1
-        new = frontier.join(step, "node").select(F.col("dst").alias("node")).distinct().join(seen.all(), "node", "left_anti")
+        new = meet(step.join(few(frontier, size), "node").select(F.col("dst").alias("node")).distinct(), seen.all(), "node", "left_anti")
         if stop is not None:
-            new = new.join(stop, "node", "left_anti")
+            new = meet(new, stop, "node", "left_anti")
         frontier = stored(new.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return seen.all()
-        seen.add(frontier)
+        if size := frontier.count():
+            seen.add(frontier)
+    return seen.all()
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -72,15 +89,16 @@ def levels(edges: DataFrame) -> DataFrame:
     """
     edges = stored(edges.select("src", "dst").distinct())
     waits = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
-    nodes = stored(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits")))
+    nodes = stored(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().transform(meet, waits, "node", "left").select("node", F.coalesce("waits", F.lit(0)).alias("waits")))
     last, level = stored(nodes.where("waits = 0").select("node", F.lit(0).alias("level"))), 0
-    done, found = Rounds(last), last.count()
+    size = found = last.count()
+    done = Rounds(last)
     came = None  # nodes that wait for more, and how many of their edges have come
     while True:
         level += 1
-        new = edges.join(last.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        new = edges.join(few(last.select(F.col("node").alias("src")), size), "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
         came = new if came is None else came.unionByName(new).groupBy("node").agg(F.sum("n").alias("n"))
-        came = stored(came.join(nodes, "node").select("node", "n", (F.col("n") == F.col("waits")).alias("full")))
+        came = stored(meet(came, nodes, "node").select("node", "n", (F.col("n") == F.col("waits")).alias("full")))
         last = stored(came.where("full").select("node", F.lit(level).alias("level")))
         came = came.where("not full").select("node", "n")
         if not (size := last.count()):
@@ -96,11 +114,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.unionByName(reverse(edges)).distinct())
     label = stored(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
-        near = both.join(label, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("near"))
-        least = label.join(near, F.col("node") == F.col("src")).select("node", F.least("component", "near").alias("component"))
+        near = meet(both, label, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("near"))
+        least = meet(label, near, F.col("node") == F.col("src")).select("node", F.least("component", "near").alias("component"))
         jump = least.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = stored(least.join(jump, "component").select("node", F.least("component", "further").alias("component")))
-        if new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
+        new = stored(meet(least, jump, "component").select("node", F.least("component", "further").alias("component")))
+        if meet(new, label.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty():
             return new
         label = new
 
@@ -114,8 +132,8 @@ def needs_run(edges: DataFrame, own: DataFrame, missing: DataFrame | None = None
     if "ancient" not in edges.columns:
         edges = edges.withColumn("ancient", F.lit(False))
     plain = edges.select("src", "dst")
-    below = closure(plain, plain.join(own.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")))
-    start = stored(own.select("node").distinct().join(below, "node", "left_anti"))
+    below = closure(plain, meet(plain, own.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")))
+    start = stored(meet(own.select("node").distinct(), below, "node", "left_anti"))
     open_ = edges.where("not ancient").select("src", "dst")
     found = None
     while True:
@@ -126,8 +144,8 @@ def needs_run(edges: DataFrame, own: DataFrame, missing: DataFrame | None = None
             found.add(stored(new))
         if missing is None:
             return found.all()
-        up = plain.join(new.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node")).distinct()
-        start = stored(up.join(missing, "node", "left_semi").join(found.all(), "node", "left_anti"))
+        up = meet(plain, new.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node")).distinct()
+        start = stored(meet(meet(up, missing, "node", "left_semi"), found.all(), "node", "left_anti"))
         if start.isEmpty():
             return found.all()
 
@@ -150,20 +168,23 @@ def run_reasons(edges: DataFrame, jobs: DataFrame) -> DataFrame:
     jobs = stored(jobs.select("node", is_("missing").alias("missing"), reason.alias("own")))
     edges = edges if "ancient" in edges.columns else edges.withColumn("ancient", F.lit(False))
     down = edges.where("not ancient").select("src", "dst")
-    up = edges.join(jobs.where("missing").select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
+    up = meet(edges, jobs.where("missing").select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
     step = stored(down.unionByName(reverse(up)).distinct())
     runs = stored(closure(step, jobs.where("own is not null").select("node")).select("node"))
-    taken = up.join(runs.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node"), F.lit("missing output").alias("taken")).distinct()
-    met = runs.join(jobs, "node", "left").join(taken, "node", "left")
+    taken = meet(up, runs.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node"), F.lit("missing output").alias("taken")).distinct()
+    met = meet(meet(runs, jobs, "node", "left"), taken, "node", "left")
     return met.select("node", F.coalesce("own", "taken", F.lit("input comes anew")).alias("reason"))
 
 
 def replan(start: DataFrame, expand: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Jobs (node) of a plan that results change: expand() gives the jobs that follow from the results of new ones, until none is new."""
+    """Jobs (node) of a plan that results change: expand() gives the jobs that follow from the results of new ones, until none is new.
+
+    What expand() gets says itself, by a hint, how it is to be joined.
+    """
     frontier = stored(start.select("node").distinct())
-    found = Rounds(frontier)
-    while True:
-        frontier = stored(expand(frontier).select("node").distinct().join(found.all(), "node", "left_anti"))
-        if frontier.isEmpty():
-            return found.all()
-        found.add(frontier)
+    found, size = Rounds(frontier), frontier.count()
+    while size:
+        frontier = stored(meet(expand(few(frontier, size)).select("node").distinct(), found.all(), "node", "left_anti"))
+        if size := frontier.count():
+            found.add(frontier)
+    return found.all()

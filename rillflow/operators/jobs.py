@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import stored
+from .graph import Rounds, few, meet, stored
 
 
 def first_choice(rows: DataFrame, by: str, order: Column, ok: Column, value: str) -> DataFrame:
@@ -81,9 +81,9 @@ def delete_jobs(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """All nodes that go with `gone` (node): upstream ones whose dependents are all gone, again and again. A round for each level."""
     gone = frontier = stored(gone.select("node").distinct())
     while True:
-        touched = edges.join(frontier.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src").distinct()
-        kept = edges.join(touched, "src", "left_semi").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src").distinct()
-        frontier = stored(touched.join(kept, "src", "left_anti").select(F.col("src").alias("node")).join(gone, "node", "left_anti"))
+        touched = meet(edges, frontier.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src").distinct()
+        kept = meet(meet(edges, touched, "src", "left_semi"), gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src").distinct()
+        frontier = stored(meet(meet(touched, kept, "src", "left_anti").select(F.col("src").alias("node")), gone, "node", "left_anti"))
         if frontier.isEmpty():
             return gone
         gone = stored(gone.unionByName(frontier))
@@ -133,24 +133,24 @@ def provenance(edges: DataFrame, own: DataFrame) -> DataFrame:
     A round for each level; a round reads the hashes of the one before it and those found earlier only of the nodes it needs.
     """
     waits = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
-    left = stored(own.join(waits, "node", "left").select("node", "text", F.coalesce("waits", F.lit(0)).alias("waits")))
-    done = last = stored(left.where("waits = 0").select("node", F.sha2("text", 256).alias("hash")))
+    left = stored(meet(own, waits, "node", "left").select("node", "text", F.coalesce("waits", F.lit(0)).alias("waits")))
+    last = stored(left.where("waits = 0").select("node", F.sha2("text", 256).alias("hash")))
     open_ = stored(edges)
-    came = None
-    while True:
-        new = open_.join(last.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "hash")
+    done, size, came = Rounds(last), last.count(), None
+    while size:
+        new = open_.join(few(last.withColumnRenamed("node", "src"), size), "src").select(F.col("dst").alias("node"), "hash")
         came = stored(new if came is None else came.unionByName(new))
         full = came.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("hash")), "").alias("before"))
-        last = stored(left.join(full, "node").where("n = waits").select("node", F.sha2(F.concat("text", "before"), 256).alias("hash")))
-        if last.isEmpty():
-            return done
-        came = stored(came.join(last, "node", "left_anti"))
-        done = stored(done.unionByName(last))
+        last = stored(left.join(few(full, came.count()), "node").where("n = waits").select("node", F.sha2(F.concat("text", "before"), 256).alias("hash")))
+        if size := last.count():
+            came = stored(meet(came, last, "node", "left_anti"))
+            done.add(last)
+    return done.all()
 
 
 def fetch(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """wanted (node, hash) with the path of the cached output of that hash, null where there is none."""
-    return wanted.join(cache.groupBy("hash").agg(F.min("path").alias("cached")), "hash", "left").select("node", "hash", "cached")
+    return meet(wanted, cache.groupBy("hash").agg(F.min("path").alias("cached")), "hash", "left").select("node", "hash", "cached")
 
 
 def inherit(rules: DataFrame, over: DataFrame, exclude: list[str] | None = None, rename: str = "{}", prefix: str = "") -> DataFrame:

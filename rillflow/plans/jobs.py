@@ -311,7 +311,7 @@ def needrun_reasons(spark, sf):
     """Missing outputs of targets and of jobs in between, forced jobs, changes, and inputs taken as ancient."""
     p, e = table(spark, sf, "part"), edges(spark, sf)
     taken = e.select(F.col("src").alias("p_partkey"), F.lit(False).alias("needed")).distinct()
-    state = p.join(taken, "p_partkey", "left").select(
+    state = G.meet(p, taken, "p_partkey", "left").select(
         F.col("p_partkey").alias("node"), (F.col("p_size") % 6 == 0).alias("missing"), F.coalesce("needed", F.lit(True)).alias("needed"), (F.col("p_partkey") % 211 == 3).alias("forced"),
         (F.col("p_retailprice") % 97 < 2).alias("updated"), ((F.col("p_brand") == "Brand#13") & (F.col("p_size") > 45)).alias("code"), ((F.col("p_size") == 11) & (F.col("p_partkey") % 4 == 0)).alias("inputs"),
         F.when(F.col("p_size") == 9, F.col("p_partkey") % 5 == 0).alias("params"),
@@ -327,7 +327,7 @@ def checkpoint_replan(spark, sf):
     def expand(new):
         results = p.join(new.withColumnRenamed("node", "p_partkey"), "p_partkey")
         two = F.when(F.col("p_size") >= 25, F.array(F.col("p_partkey") * 2, F.col("p_partkey") * 2 + 1)).otherwise(F.array(F.col("p_partkey") * 2))
-        return results.select(F.explode(two).alias("p_partkey")).join(p.select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("node"))
+        return G.meet(results.select(F.explode(two).alias("p_partkey")), p.select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("node"))
 
     return G.replan(p.where("p_partkey = 1").select(F.col("p_partkey").alias("node")), expand)
 

@@ -345,14 +345,14 @@ def dag_until(spark, sf):
 @query(f"WITH RECURSIVE r(node) AS (SELECT CAST(5 AS BIGINT) UNION SELECT e.dst FROM r JOIN {EDGES} e ON e.src = r.node) SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT node FROM r)")
 def dag_omit_from(spark, sf):
     gone = G.closure(edges(spark, sf), spark.createDataFrame([(5,)], "node long"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("node")).join(gone, "node", "left_anti")
+    return G.meet(table(spark, sf, "part").select(F.col("p_partkey").alias("node")), gone, "node", "left_anti")
 
 
 @query(f"WITH RECURSIVE r(node) AS (SELECT p_partkey FROM part WHERE p_size = 50 UNION SELECT e.src FROM r JOIN {EDGES} e ON e.dst = r.node) SELECT p_partkey AS node, CASE WHEN p_partkey IN (SELECT node FROM r) THEN 1000 ELSE p_size END AS priority FROM part")
 def priority_closure(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), "p_size")
     high = G.closure(G.reverse(edges(spark, sf)), p.where("p_size = 50").select("node")).select("node", F.lit(1000).alias("high"))
-    return p.join(high, "node", "left").select("node", F.coalesce("high", "p_size").alias("priority"))
+    return G.meet(p, high, "node", "left").select("node", F.coalesce("high", "p_size").alias("priority"))
 
 
 @query(f"WITH RECURSIVE e AS (SELECT src, dst FROM {EDGES}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, other) AS (SELECT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.other) SELECT node, min(other) AS component FROM r GROUP BY node")

@@ -107,3 +107,26 @@ def test_queue_goes_on_and_ends(spark, tmp_path):
     add(5)
     assert take() == [1, 2, 3, 4] and queue.ended(spark, home) == end
     assert sorted(x.key for x in queue.accumulate(spark, folder, "key").collect()) == [1, 2, 3, 4, 5, 99]
+
+
+def test_rounds_send_no_table_through_the_driver(spark, monkeypatch):
+    """No round broadcasts more than FEW rows (none here), however small its tables are."""
+    plans, keep = [], graph.stored
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(graph, "stored", spy)
+    monkeypatch.setattr(jobs, "stored", spy)
+    monkeypatch.setattr(graph, "FEW", -1, raising=False)
+    pairs = [(k // 2, k) for k in range(2, 14)]
+    e, nodes = spark.createDataFrame(pairs, "src long, dst long"), spark.range(1, 14).withColumnRenamed("id", "node")
+    one = nodes.where("node = 1")
+    state = nodes.selectExpr("node", "node % 3 = 0 AS missing", "node > 6 AS needed", "node = 2 AS forced", *(f"false AS {c}" for c in ("updated", "code", "inputs", "params")))
+    outs = [
+        graph.closure(e, one, nodes.where("node = 5")), graph.levels(e), graph.components(e), graph.needs_run(e, one, nodes.where("node = 2")), graph.run_reasons(e, state),
+        graph.replan(one, lambda new: e.join(new.withColumnRenamed("node", "src"), "src").selectExpr("dst AS node")), jobs.provenance(e, nodes.selectExpr("node", "'t' AS text")), jobs.delete_jobs(e, nodes.where("node > 11")),
+    ]
+    assert [x.count() for x in outs] == [10, 13, 13, 13, 12, 13, 13, 3]
+    assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
