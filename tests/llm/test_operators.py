@@ -429,6 +429,19 @@ def test_quality_and_toxicity(spark, odd, empty):
     assert toxicity.score_toxicity(odd, toxicity.fit(docs, docs.select("doc_id", "toxic").where("false"))).where("predicted = 1").count() == 0
 
 
+def test_quality_trains_on_every_labelled_row(spark):
+    """More labelled rows than a sample of 20,000 would take, each in the mean and in the threshold; few rows meet in all pairs."""
+    n = 21_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('word ', repeat('ab ', int(id % 97)), if(id % 3 = 0, '#### 1234', 'fine.')) AS text")
+    ranker = quality.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 3 > 0) AS quality"))
+    x = np.array([quality.features(r.text) for r in docs.collect()])
+    assert np.allclose(ranker.centre, x.mean(0), rtol=1e-9) and np.allclose(ranker.scale, np.maximum(x.std(0), 1e-6), rtol=1e-6)
+    scores = np.clip((x - ranker.centre) / ranker.scale, -8, 8) @ ranker.weights
+    assert abs(ranker.threshold - np.quantile(scores, 1 / 3)) < 1e-9
+    few = spark.range(7).selectExpr("id * 1.5D AS s").unionByName(spark.range(3).selectExpr("3.0D AS s"))
+    assert abs(quality.quantile(few, 10, 0.7) - np.quantile([0, 1.5, 3, 4.5, 6, 7.5, 9, 3, 3, 3], 0.7)) < 1e-12
+
+
 def test_mixing(spark, odd, empty):
     r = random.Random(7)
     words = {"en": ["the", "of", "and", "rain"], "de": ["der", "und", "die", "regen"]}
