@@ -302,8 +302,9 @@ def edges_from_io_all(spark, sf):
 
 
 def io_edges(f):
+    """f: a row for each job and path at most, so that no edge comes twice."""
     made = f.where("temp").select(F.col("job").alias("src"), "path", F.col("mtime").alias("made"))
-    return f.join(made, "path").where("made < mtime").select(F.col("job").alias("dst"), "src", "path").distinct()
+    return f.join(made, "path").where("made < mtime").select(F.col("job").alias("dst"), "src", "path")
 
 
 @query("SELECT o_orderkey AS job FROM orders ANTI JOIN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N') l ON l_orderkey = o_orderkey")

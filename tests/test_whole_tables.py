@@ -53,3 +53,13 @@ def test_zip_sorts_no_table_in_one_task(spark):
     assert "SinglePartition" not in out._jdf.queryExecution().toString()
     want = [f"{a}-{b}" for a, b in zip(sorted(i % 7 for i in range(300)), range(300))]
     assert sorted(x.path for x in out.collect()) == sorted(want)
+
+
+def test_edges_of_files_have_no_shuffle_of_the_edges(spark):
+    """Edges are several times the files: they are distinct as they come and are not shuffled again."""
+    from rillflow.plans.queries import io_edges
+
+    f = spark.createDataFrame([(1, "a", 1, True), (2, "a", 2, True), (3, "a", 3, False), (3, "b", 1, False), (None, "a", 2, True)], "job long, path string, mtime long, temp boolean")
+    out = io_edges(f)
+    assert sorted(map(str, out.collect())) == sorted(f"Row(dst={d}, src={s}, path='a')" for d, s in ((2, 1), (3, 1), (3, 2), (None, 1), (3, None)))
+    assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
