@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,22 +61,28 @@ def merge_resources(rows: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
     """rows with their place, from 1, in the order given, within the columns `by` (none: of all rows).
 
-    Rows are dealt out by ranges of (by, order), equal ones too, and counts over the ranges give each its offset, so no
-    task sees more than a range, however large a group is.
+    Rows are dealt out by ranges of (by, order), equal ones too, so no task sees more than a range, however large a group is.
+    A group that goes on from one range into the next is the last of the one and the first of the other: only such groups
+    are counted, to give their rows in later ranges an offset.
     """
     from .graph import stored
 
     tied = rows.withColumn("__tie", F.monotonically_increasing_id())
     split = stored(tied.repartitionByRange(*by, *order, "__tie").withColumn("__p", F.spark_partition_id()))
     same = [F.col(c) for c in by]
-    sizes = split.groupBy(*by, "__p").count()
+    at_ends = split
+    if by:
+        ends = split.groupBy("__p").agg(F.min(F.struct(*same)).alias("a"), F.max(F.struct(*same)).alias("z")).select(F.explode(F.array("a", "z")).alias("k"))
+        ends = ends.select(*(F.col("k")[c].alias(f"__{k}") for k, c in enumerate(by))).distinct()  # two for each range at most
+        at_ends = split.join(F.broadcast(ends), reduce(and_, (F.col(c).eqNullSafe(F.col(f"__{k}")) for k, c in enumerate(by))), "left_semi")
+    sizes = at_ends.groupBy(*by, "__p").count()
     before = F.coalesce(F.sum("count").over(W.partitionBy(*same).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = stored(sizes.select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(by)), F.col("__p").alias("__q"), before.alias("__before")))  # one row for each range and group in it
+    offsets = stored(sizes.select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(by)), F.col("__p").alias("__q"), before.alias("__before")).where("__before > 0"))  # one row for each range at most
     match = F.col("__p") == F.col("__q")
     for k, c in enumerate(by):
         match = match & F.col(c).eqNullSafe(F.col(f"__{k}"))
-    ranked = split.withColumn(name, F.row_number().over(W.partitionBy(*same, "__p").orderBy(*order, "__tie"))).join(offsets, match)
-    return ranked.select(*rows.columns, (F.col(name) + F.col("__before")).cast("long").alias(name))
+    ranked = split.withColumn(name, F.row_number().over(W.partitionBy(*same, "__p").orderBy(*order, "__tie"))).join(F.broadcast(offsets), match, "left")
+    return ranked.select(*rows.columns, (F.col(name) + F.coalesce("__before", F.lit(0))).cast("long").alias(name))
 
 
 def fit_counts(counts: list[tuple[int, int]], room: int) -> list[tuple[int, int, int, int, int]]:
@@ -110,19 +118,21 @@ def fit_counts(counts: list[tuple[int, int]], room: int) -> list[tuple[int, int,
 def first_fit(rows: DataFrame, room: int) -> DataFrame:
     """rows: group, job, mem, runtime -> layer of each job: largest share first, into the first layer with room.
 
-    Only the counts of a group's jobs by mem go to one task, where they are fitted; jobs find their layer by their rank.
+    Of a group only the counts of its jobs by mem are together, as one row, where they are fitted; jobs find their layer by their rank.
     """
 
-    def fit(group):  # noqa: ANN001, ANN202
-        found = fit_counts([(int(m), int(n)) for m, n in group.sort_values("mem", ascending=False)[["mem", "count"]].itertuples(index=False)], room)
-        out = pd.DataFrame(found, columns=["mem", "low", "high", "first", "each"])
-        return out.assign(group=group["group"].iloc[0])[["group", "mem", "low", "high", "first", "each"]]
+    @F.udf("array<struct<mem:bigint,fit:array<struct<low:bigint,high:bigint,first:bigint,each:bigint>>>>", useArrow=False)
+    def fit(mems: list, counts: list) -> list:
+        found: dict[int, list] = {}
+        for mem, *run in fit_counts(list(zip(mems, counts, strict=True)), room):
+            found.setdefault(mem, []).append(tuple(run))
+        return list(found.items())
 
-    fitted = rows.groupBy("group", "mem").count().groupBy("group").applyInPandas(fit, "group long, mem long, low long, high long, first long, each long")
-    fitted = fitted.groupBy("group", "mem").agg(F.collect_list(F.struct("low", "high", "first", "each")).alias("__fit"))
+    counts = F.sort_array(F.collect_list(F.struct(F.col("mem").cast("long").alias("mem"), "count")), asc=False).alias("c")
+    fitted = rows.groupBy("group", "mem").count().groupBy("group").agg(counts).select("group", F.inline(fit("c.mem", "c.count"))).withColumnRenamed("fit", "__fit")
     ranked = numbered(rows.select("group", "job", "mem", "runtime"), ["group", "mem"], [F.desc("runtime"), F.col("job")], "__rank")
     fitted = fitted.select(F.col("group").alias("__g"), F.col("mem").alias("__m"), "__fit")
-    ranked = ranked.join(fitted, F.col("group").eqNullSafe(F.col("__g")) & (F.col("mem") == F.col("__m"))).withColumn("__rank", F.col("__rank") - 1)
+    ranked = ranked.join(fitted.hint("merge"), F.col("group").eqNullSafe(F.col("__g")) & (F.col("mem") == F.col("__m"))).withColumn("__rank", F.col("__rank") - 1)
     own = F.filter("__fit", lambda x: (x["low"] <= F.col("__rank")) & (F.col("__rank") < x["high"]))[0]
     return ranked.select("group", "job", (own["first"] + F.floor((F.col("__rank") - own["low"]) / own["each"])).cast("long").alias("layer"))
 

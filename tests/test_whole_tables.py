@@ -55,6 +55,32 @@ def test_zip_sorts_no_table_in_one_task(spark):
     assert sorted(x.path for x in out.collect()) == sorted(want)
 
 
+def test_numbered_counts_only_what_goes_on_into_another_range(spark, monkeypatch):
+    kept, keep = [], graph.stored
+
+    def spy(df):
+        kept.append(keep(df))
+        return kept[-1]
+
+    monkeypatch.setattr(graph, "stored", spy)
+    r = random.Random(5)
+    rows = [(r.choice([None, 1, 2, *range(10, 200)]), r.randrange(50), j) for j in range(400)] + [(7, 3, 400 + j) for j in range(900)]
+    df = spark.createDataFrame(rows, "g long, v long, j long")
+    for by in (["g"], []):
+        kept.clear()
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges
+        try:
+            got = planning.numbered(df, by, [df.v.desc(), df.j], "place").collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        want, seen = {}, {}
+        for g, _, j in sorted(rows, key=lambda x: (-x[1], x[2])):
+            key = g if by else 0
+            want[j] = seen[key] = seen.get(key, 0) + 1
+        assert {x.j: x.place for x in got} == want
+        assert 1 <= kept[-1].count() < kept[0].rdd.getNumPartitions()  # offsets
+
+
 def test_edges_of_files_have_no_shuffle_of_the_edges(spark):
     """Edges are several times the files: they are distinct as they come and are not shuffled again."""
     from rillflow.plans.queries import io_edges
